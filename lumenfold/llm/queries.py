@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .lines import OP9_SQL, op9_lines
 from .mixing import op1_mixing
+from .simhash import op6_simhash
 
-QUERIES = {"op1_mixing": op1_mixing, "op9_lines": op9_lines}
+QUERIES = {"op1_mixing": op1_mixing, "op6_simhash": op6_simhash, "op9_lines": op9_lines}
 ORACLES = {"op9_lines": OP9_SQL}
