@@ -5,6 +5,8 @@ from __future__ import annotations
 from .lines import OP9_SQL, op9_lines
 from .mixing import op1_mixing
 from .simhash import op6_simhash
+from .syncmers import op5_syncmers
+from .tokens import op4_tokens
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_simhash": op6_simhash, "op9_lines": op9_lines}
+QUERIES = {"op1_mixing": op1_mixing, "op4_tokens": op4_tokens, "op5_syncmers": op5_syncmers, "op6_simhash": op6_simhash, "op9_lines": op9_lines}
 ORACLES = {"op9_lines": OP9_SQL}
