@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .langid import op8_langid
 from .lines import OP9_SQL, op9_lines
 from .mixing import op1_mixing
+from .quality import op7_quality
 from .simhash import op6_simhash
 from .syncmers import op5_syncmers
 from .tokens import op4_tokens
 from .toxicity import op2_toxicity
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_tokens": op4_tokens, "op5_syncmers": op5_syncmers, "op6_simhash": op6_simhash, "op9_lines": op9_lines}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_tokens": op4_tokens, "op5_syncmers": op5_syncmers, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_langid": op8_langid, "op9_lines": op9_lines}
 ORACLES = {"op9_lines": OP9_SQL}
