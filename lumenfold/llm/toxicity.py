@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, documents, slices
 
@@ -328,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None, column: str = "toxicity") -> DataFrame:
     """docs with the probability of its most toxic sentence added as a column (one of that name is replaced)."""
     docs = docs.drop(column)
-    schema = docs.schema.add(column, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader() if model else None
