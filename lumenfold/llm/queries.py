@@ -10,6 +10,7 @@ from .simhash import op6_simhash
 from .syncmers import op5_syncmers
 from .tokens import op4_tokens
 from .toxicity import op2_toxicity
+from .webp import op3_media
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op4_tokens": op4_tokens, "op5_syncmers": op5_syncmers, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_langid": op8_langid, "op9_lines": op9_lines}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_media": op3_media, "op4_tokens": op4_tokens, "op5_syncmers": op5_syncmers, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_langid": op8_langid, "op9_lines": op9_lines}
 ORACLES = {"op9_lines": OP9_SQL}
