@@ -25,7 +25,7 @@ from .common import crc_mod, documents, slices
 from .features import Words, hashed, mean_rows
 
 BITS, GRAMS = 16, (1, 2, 3)
-TRAIN_DOCS, TRAIN_CHARS, STEPS, RATE, DECAY = 4000, 20_000, 150, 0.05, 1e-5
+TRAIN_DOCS, TRAIN_CHARS, STEPS, RATE, DECAY = 2500, 20_000, 150, 0.05, 1e-5
 FIGURES = 5
 
 
