@@ -61,15 +61,15 @@ def majority(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a long."""
+    """doc_id, text_hash, fp: the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fps = np.array([majority(shingle_hashes(t, n)) for t in part.column("text").to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS, rows: int = 512) -> list[tuple[int, int]]:
@@ -187,15 +187,23 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE, refine: in
 
 
 def simhash_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id: a row per document."""
+    """doc_id, text_hash, fp, component_id, root (a fingerprint that names the component): a row per document."""
     fps = stored(fingerprints(docs, n))
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = stored(links(classes).distinct())
     roots = components(found)
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = of.join(least, "root").select(F.col("fp").alias("class"), "component_id")
-    return fps.join(ids, fps["fp"] == F.col("class"), "left").select("doc_id", "fp", "component_id")
+    ids = of.join(least, "root").select(F.col("fp").alias("class"), "component_id", "root")
+    return fps.join(ids, fps["fp"] == F.col("class"), "left").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: that with the smallest doc_id, then text hash; of equal rows, one."""
+    groups = simhash_groups(docs)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    kept = docs.withColumn("own_hash", F.xxhash64("text")).join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "own_hash"]).select(*docs.columns)
 
 
 def hex64(col: str):
