@@ -232,7 +232,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = own.mapInArrow(names, "unit string, g long, no int").repartition(n, "unit")
-    found = encoded_units(named.select("unit").distinct(), table)
+    # both branches read all columns of `named`, so that it is computed and dealt out once
+    distinct = named.groupBy("unit").agg(F.min("g").alias("g"), F.min("no").alias("no")).where("g >= 0 AND no >= 0").select("unit")
+    found = encoded_units(distinct, table)
     placed = named.join(found.hint("merge"), "unit").select("g", "no", "ids", F.lit(None).cast("int").alias("known"), F.lit(None).cast("binary").alias("blob"))
     shaped = own.mapInArrow(structures, "g long, known int, blob binary").select("g", F.lit(2_147_483_647).alias("no"), F.lit(None).cast("array<int>").alias("ids"), "known", "blob")
     together = placed.unionByName(shaped).repartition(n, "g").sortWithinPartitions("g", "no", "known")
