@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Tags of the fields that are read.
@@ -94,10 +95,17 @@ def exif_of(data: bytes | None) -> tuple:
     return (text(sub, ORIGINAL), text(sub, DIGITIZED), text(sub, CHANGED), text(first, ORIGINAL), text(first, CHANGED), text(gps, 1), dms(2), text(gps, 3), dms(4))
 
 
-@F.pandas_udf(EXIF)
-def exif_fields(content: pd.Series) -> pd.DataFrame:
-    rows = [exif_of(bytes(x) if x is not None else None) for x in content]
-    return pd.DataFrame(rows, columns=[p.split()[0] for p in EXIF.split(", ")])
+# The functions below are made where they are used, as a worker that imports this module has no session.
+
+
+def exif_fields(content: Column) -> Column:
+    """The embedded fields of a picture's bytes, as a struct."""
+
+    def read(content: pd.Series) -> pd.DataFrame:
+        rows = [exif_of(bytes(x) if x is not None else None) for x in content]
+        return pd.DataFrame(rows, columns=[p.split()[0] for p in EXIF.split(", ")])
+
+    return F.pandas_udf(read, EXIF)(content)
 
 
 def laplacian(grey: np.ndarray) -> float:
@@ -106,8 +114,7 @@ def laplacian(grey: np.ndarray) -> float:
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
-@F.pandas_udf("double")
-def laplacian_var(pixels: pd.Series, width: pd.Series) -> pd.Series:
+def laplacian_var(pixels: Column, width: Column) -> Column:
     """Of flat rows of grey levels and their width; null for null, empty or ragged ones."""
 
     def one(p, w) -> float | None:
@@ -115,11 +122,13 @@ def laplacian_var(pixels: pd.Series, width: pd.Series) -> pd.Series:
             return None
         return laplacian(np.asarray(p, dtype=np.float64).reshape(-1, int(w)))
 
-    return pd.Series([one(p, w) for p, w in zip(pixels, width, strict=True)], dtype="float64")
+    def all_(pixels: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([one(p, w) for p, w in zip(pixels, width, strict=True)], dtype="float64")
+
+    return F.pandas_udf(all_, "double")(pixels, width)
 
 
-@F.pandas_udf("double")
-def image_sharpness(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+def image_sharpness(height: Column, width: Column, channels: Column, data: Column) -> Column:
     """Of the fields of Spark's image source, whose colour channels come blue first; null for undecoded pictures."""
 
     def one(h: int, w: int, c: int, d) -> float | None:
@@ -128,4 +137,7 @@ def image_sharpness(height: pd.Series, width: pd.Series, channels: pd.Series, da
         a = np.frombuffer(bytes(d), dtype=np.uint8).reshape(h, w, c).astype(np.float64)
         return laplacian(a[:, :, 0] if c == 1 else np.rint(0.114 * a[:, :, 0] + 0.587 * a[:, :, 1] + 0.299 * a[:, :, 2]))
 
-    return pd.Series([one(*x) for x in zip(height, width, channels, data, strict=True)], dtype="float64")
+    def all_(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(height, width, channels, data, strict=True)], dtype="float64")
+
+    return F.pandas_udf(all_, "double")(height, width, channels, data)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..model import SIBLING_EXTENSIONS
+from .store import stored
 
 EXIF_ORDER = ("sub_original", "sub_digitized", "sub_changed", "original", "changed")
 
@@ -42,7 +43,7 @@ def sibling_dates(dated: DataFrame) -> DataFrame:
 
 def resolve(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None = None, exif: DataFrame | None = None) -> DataFrame:
     """files with date. A file that is no photo may take its sibling's."""
-    dated = own_dates(files, as_of, sidecars, exif)
+    dated = stored(own_dates(files, as_of, sidecars, exif))
     out = dated.join(sibling_dates(dated), F.col("stem") == F.col("__stem"), "left")
     lent = F.when(F.coalesce(F.col("media") != "photo", F.lit(True)), F.col("sibling_date"))
     return out.withColumn("date", F.coalesce("own_date", lent)).drop("own_date", "sibling_date", "__stem")

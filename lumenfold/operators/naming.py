@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_name, dir_name, raw_extension
 from .ranking import position
+from .store import stored
 
 
 def split_names(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -73,7 +74,7 @@ def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFram
     ways = F.filter(F.transform(F.sequence(F.lit(0), F.size(tails) - 1), lambda i: F.substring("base", F.lit(1), F.char_length("base") - ending(i))), lambda x: x != "")
     exploded = slim.withColumn("__way", F.explode(ways))
     met = exploded.join(heads, (F.col("target_dir") == F.col("__dir")) & (F.col("raw_ext") == F.col("__ext")) & (F.col("__way") == F.col("__base")))
-    grouped = met.groupBy("path", "name", *key, "is_old").agg(F.min_by("__way", F.char_length("__way")).alias("head"))
+    grouped = stored(met.groupBy("path", "name", *key, "is_old").agg(F.min_by("__way", F.char_length("__way")).alias("head")))
     head = ["target_dir", "head", "raw_ext"]
     kinds = grouped.groupBy(*head).agg((F.min("base") != F.max("base")).alias("mixed"), F.bool_or("is_old").alias("old"))
     marked = grouped.join(kinds, head)

@@ -15,6 +15,7 @@ from ..operators.dedup import destination_duplicates, source_duplicates_tiered
 from ..operators.history import resumed
 from ..operators.naming import sequence_names, unique_names
 from ..operators.pairs import live_pairs
+from ..operators.store import stored
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
     else:
         files = _flag(files, "is_resumed")
     files = files.withColumns({"is_junk": N.is_junk(F.col("ext")), "is_screenshot": N.is_screenshot(F.col("name"))})
+    files = stored(files)
     media = files.where(~F.col("is_resumed") & ~F.col("is_junk") & ~F.col("is_screenshot") & F.col("media").isNotNull()).select("path", "length")
 
     # copies: of the destination first, and those left among each other
@@ -69,7 +71,7 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
         marks = own.unionByName(marks.where("in_dst").select("path", "in_dst", F.lit(False).alias("is_dup")))
     else:
         marks = marks.select("path", "in_dst", F.lit(False).alias("is_dup"))
-    files = files.join(marks, "path", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_dst", "is_dup")})
+    files = stored(files.join(marks, "path", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_dst", "is_dup")}))
 
     if options.blur_check_enabled and catalog.sharpness is not None:
         files = files.join(catalog.sharpness.select("path", "score"), "path", "left").withColumn("is_blurred", F.coalesce((F.col("media") == "photo") & (F.col("score") < options.blur_threshold), F.lit(False)))
@@ -100,7 +102,7 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
     sub = F.coalesce(sub, F.when(route == "dated", F.concat_ws("/", kind_dir, D.month(F.col("date")), "location")))
     tag = F.when(route == "screenshot", TAG_SCREENSHOT).when(route == "duplicate", TAG_DUPLICATE).when(route == "blurred", F.concat(F.lit(f"{TAG_BLUR}("), F.col("score").cast("bigint").cast("string"), F.lit(")"))).otherwise(TAG_SORT)
     files = files.withColumns({"target_dir": F.concat(F.lit(options.dst_root.rstrip("/") + "/"), sub), "tag": F.when(sub.isNotNull(), tag), "outcome": F.when(sub.isNotNull(), "filed").otherwise(route), "error": F.lit(None).cast("string")})
-    return with_targets(files, catalog, options)
+    return with_targets(stored(files), catalog, options)
 
 
 def with_targets(files: DataFrame, catalog: Catalog, options: Options) -> DataFrame:
