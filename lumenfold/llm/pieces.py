@@ -40,6 +40,8 @@ GROUP_BYTES, GROUP_UNITS = 64 << 20, 1_500_000
 #: What the library takes off the least score for a character without a piece (a fixed value).
 UNKNOWN_LESS = 10.0
 MAX_PIECES = 1_000_000
+#: Encoded units that a worker packs at once.
+PACK = 400_000
 
 
 class Table:
@@ -152,9 +154,13 @@ def packed_rows(ids: list, digests: list[bytes], numbers: list[np.ndarray]) -> b
     flat = np.concatenate(numbers) if numbers else np.empty(0, dtype=np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
     batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "units"])
+    return ipc_bytes(pa.Table.from_batches([batch]))
+
+
+def ipc_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -189,32 +195,56 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             blob = packed_rows(part.column("doc_id").to_pylist(), digests, numbers)
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([len(run.number)], pa.int32()), pa.array([blob], pa.binary())], ["g", "known", "blob"])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units' ids of many runs as one compressed row per run, for up to PACK rows at a time."""
+
+        def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by([("g", "ascending"), ("no", "ascending")]).combine_chunks()
+            groups = table.column("g").to_numpy()
+            edges = [0, *(np.nonzero(np.diff(groups))[0] + 1).tolist(), len(groups)]
+            blobs = [ipc_bytes(table.slice(a, b - a).select(["no", "ids"])) for a, b in zip(edges, edges[1:])]  # noqa: B905
+            return pa.RecordBatch.from_arrays([pa.array(groups[edges[:-1]]), pa.nulls(len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["g", "known", "blob"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK:
+                yield rows(held)
+                held = []
+        if held:
+            yield rows(held)
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a run: its units' ids in order, then its documents."""
+        """Rows of a run: its units' ids, then its documents."""
         g, parts, flat, offsets = None, [], None, None
         for batch in batches:
-            groups, known = batch.column("g").to_numpy(), batch.column("known").to_pylist()
-            edges = [0, *(np.nonzero(np.diff(groups))[0] + 1).tolist(), len(groups)]
-            for a, b in zip(edges, edges[1:]):  # noqa: B905
-                if a == b:
+            for own, known, blob in zip(batch.column("g").to_pylist(), batch.column("known").to_pylist(), batch.column("blob"), strict=True):
+                if g != own:
+                    g, parts, flat = own, [], None
+                if known is None:
+                    part = pa.ipc.open_stream(blob.as_py()).read_all().combine_chunks()
+                    ids = part.column("ids").combine_chunks()
+                    parts.append((part.column("no").to_numpy(), ids.value_lengths().to_numpy(), ids.flatten().to_numpy()))
                     continue
-                if g != int(groups[a]):
-                    g, parts, flat = int(groups[a]), [], None
-                cut = next((i for i in range(a, b) if known[i] is not None), b)
-                if cut > a:
-                    parts.append((batch.column("no").slice(a, cut - a).to_numpy(), batch.column("ids").slice(a, cut - a)))
-                for i in range(cut, b):
-                    if flat is None:
-                        no = np.concatenate([n for n, _ in parts]) if parts else np.empty(0, dtype=np.int32)
-                        if not np.array_equal(no, np.arange(len(no))):
-                            raise RuntimeError("a run's units are not whole")
-                        lengths = np.concatenate([x.value_lengths().to_numpy() for _, x in parts]) if parts else np.empty(0, dtype=np.int64)
-                        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-                        flat = np.concatenate([x.flatten().to_numpy() for _, x in parts]) if parts else np.empty(0, dtype=np.int32)
-                        parts = []
-                    if known[i] > len(offsets) - 1:
-                        raise RuntimeError("a run lacks units")
-                    yield document_rows(batch.column("blob")[i].as_py(), flat, offsets)
+                if flat is None:
+                    flat, offsets = in_order(parts)
+                    parts = []
+                if known > len(offsets) - 1:
+                    raise RuntimeError("a run lacks units")
+                yield document_rows(blob.as_py(), flat, offsets)
+
+    def in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units 0, 1, 2, ... one after the other, and where each unit's begin."""
+        if not parts:
+            return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        no, lengths, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(no, kind="stable")
+        if not np.array_equal(no[order], np.arange(len(no))):
+            raise RuntimeError("a run's units are not whole")
+        firsts = (np.cumsum(lengths) - lengths)[order]
+        offsets = np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64)
+        return ids[np.arange(offsets[-1]) + np.repeat(firsts - offsets[:-1], lengths[order])], offsets
 
     def document_rows(blob: bytes, flat: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         rows = pa.ipc.open_stream(blob).read_next_batch()
@@ -235,10 +265,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     # both branches read all columns of `named`, so that it is computed and dealt out once
     distinct = named.groupBy("unit").agg(F.min("g").alias("g"), F.min("no").alias("no")).where("g >= 0 AND no >= 0").select("unit")
     found = encoded_units(distinct, table)
-    placed = named.join(found.hint("merge"), "unit").select("g", "no", "ids", F.lit(None).cast("int").alias("known"), F.lit(None).cast("binary").alias("blob"))
-    shaped = own.mapInArrow(structures, "g long, known int, blob binary").select("g", F.lit(2_147_483_647).alias("no"), F.lit(None).cast("array<int>").alias("ids"), "known", "blob")
-    together = placed.unionByName(shaped).repartition(n, "g").sortWithinPartitions("g", "no", "known")
-    return together.select("g", "no", "ids", "known", "blob").mapInArrow(assemble, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+    placed = named.join(found.hint("merge"), "unit").select("g", "no", "ids").mapInArrow(gathered, "g long, known int, blob binary")
+    shaped = own.mapInArrow(structures, "g long, known int, blob binary")
+    together = placed.unionByName(shaped).repartition(n, "g").sortWithinPartitions("g", F.col("known").asc_nulls_first())
+    return together.mapInArrow(assemble, "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
