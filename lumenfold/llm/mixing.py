@@ -73,7 +73,7 @@ def sainte_lague(claims: list, seats: int, caps: list[int]) -> list[int]:
     if not n or seats <= 0:
         return got.tolist()
     v, most = np.array([float(x) for x in claims]), np.array(caps, dtype=np.int64)
-    at = lambda d: np.minimum(np.floor(v / d + 0.5).astype(np.int64), most)
+    at = lambda d: np.minimum(np.floor(v / d + 0.5), most).astype(np.int64)
     lo, hi = 0.0, 2.0 * v.max() + 1  # at(hi) is all zeros
     for _ in range(80):
         mid = (lo + hi) / 2

@@ -31,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, mapped, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MAX_UNIT, MAX_RUN = 400, 100
-GROUP_BYTES, GROUP_UNITS = 64 << 20, 1_500_000
+GROUP_BYTES, GROUP_UNITS = 64 << 20, 250_000
 #: What the library takes off the least score for a character without a piece (a fixed value).
 UNKNOWN_LESS = 10.0
 MAX_PIECES = 1_000_000
 #: Encoded units that a worker packs at once.
-PACK = 400_000
+PACK = 200_000
 
 
 class Table:
@@ -261,14 +261,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = own.mapInArrow(names, "unit string, g long, no int").repartition(n, "unit")
+    named = mapped(own, names, "unit string, g long, no int").repartition(n, "unit")
     # both branches read all columns of `named`, so that it is computed and dealt out once
     distinct = named.groupBy("unit").agg(F.min("g").alias("g"), F.min("no").alias("no")).where("g >= 0 AND no >= 0").select("unit")
     found = encoded_units(distinct, table)
-    placed = named.join(found.hint("merge"), "unit").select("g", "no", "ids").mapInArrow(gathered, "g long, known int, blob binary")
-    shaped = own.mapInArrow(structures, "g long, known int, blob binary")
+    placed = mapped(named.join(found.hint("merge"), "unit").select("g", "no", "ids"), gathered, "g long, known int, blob binary")
+    shaped = mapped(own, structures, "g long, known int, blob binary")
     together = placed.unionByName(shaped).repartition(n, "g").sortWithinPartitions("g", F.col("known").asc_nulls_first())
-    return together.mapInArrow(assemble, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+    return mapped(together, assemble, "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, slices
+from .common import crc_mod, documents, mapped, slices
 
 ORDER, DECAY, GATE = 3, 0.6, 0.75
 LANDMARKS, COVER, PRECISION, NEAR = 40, 6, 0.95, 0.9
@@ -339,7 +339,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "toxicity") -> Dat
                 found = model.score(reader, texts) if model else [0.0] * len(texts)
                 yield part.append_column(column, pa.array(found, pa.float64()))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def chunk(data: bytes, at: int = 0) -> tuple[bytes, int]:
     """The VP8L chunk of the file that begins at a place in data, and the place where that file ends."""
     if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != b"WEBP":
         raise ValueError("not a WebP file")
-    end, pos = at + 8 + struct.unpack_from("<I", data, at + 4)[0], at + 12
+    end, pos = min(len(data), at + 8 + struct.unpack_from("<I", data, at + 4)[0]), at + 12
     while pos + 8 <= end:
         name, size = data[pos : pos + 4], struct.unpack_from("<I", data, pos + 4)[0]
         if name == b"VP8L":
