@@ -2,7 +2,8 @@
 
 A sentence's units are its words: lower case, letters and digits only (so "i.d.i.o.t" is "idiot"), runs of
 four or more one-letter tokens joined into one word, with marks for the word's start and end. The kernel of
-two units counts their common subsequences of ORDER symbols, each gap symbol at a price of DECAY, and squares the sum, so an
+two units counts their common subsequences of ORDER symbols, each gap symbol at a price of DECAY, over the landmark's own; it is cubed
+unless the landmark is a whole word and the unit has it with at most EXTRA symbols more. So an
 insult with inserted or missing characters is still near its landmark; it is zero unless a common
 subsequence covers GATE of the landmark. Landmarks are words and word starts, chosen greedily so that the
 toxic training texts are covered COVER times while clean ones are not. A sentence's features are its
@@ -32,10 +33,10 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, documents, mapped, slices
 
-ORDER, DECAY, GATE = 3, 0.6, 0.75
+ORDER, DECAY, GATE = 3, 0.75, 0.75
 LANDMARKS, COVER, PRECISION, NEAR = 40, 6, 0.95, 0.9
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
-WINDOW, CACHE = 32, 300_000
+WINDOW, CACHE, EXTRA = 32, 300_000, 2
 _NOT_LETTERS, _ENDS = re.compile(r"[\W_]+"), (".", "!", "?", ";", ":")
 
 
@@ -79,6 +80,7 @@ class Landmarks:
         self.width = max(map(len, strings))
         self.codes = coded(strings, self.width)
         self.lengths = np.array([len(x) for x in strings])
+        self.whole = np.array([x.endswith("$") for x in strings])
         self.need = np.ceil(GATE * self.lengths).astype(int)
         self.norm = kernel(self.codes, self.codes)
         self.masks = self.mask(self.codes)
@@ -95,7 +97,7 @@ class Landmarks:
         return (kernel(self.codes[i], self.codes[j]) ** 2 / (self.norm[i] * self.norm[j])).reshape(n, n)
 
     def values(self, words: list[str]) -> dict[int, np.ndarray]:
-        """Squared kernel values (1 for the landmark itself) of those of the words, by place, that have any."""
+        """Kernel values (1 for the landmark itself) of those of the words, by place, that have any."""
         pieces: dict[int, list[str]] = {n: [] for n in (10, 14, 20, WINDOW)}
         owners: dict[int, list[int]] = {n: [] for n in pieces}
         for k, w in enumerate(words):
@@ -115,10 +117,14 @@ class Landmarks:
                     places.append(found)
                     marks.append(np.full(len(found), j))
                 w, j = np.concatenate(places), np.concatenate(marks)
-                enough = longest_common(part[w], self.codes[j]) >= self.need[j]
+                common = longest_common(part[w], self.codes[j])
+                enough = common >= self.need[j]
                 w, j = w[enough], j[enough]
+                # a whole word of the landmark's symbols with one or two more counts in full; other likeness by its cube
+                near = (common[enough] == self.lengths[j]) & self.whole[j] & ((part[w] > 0).sum(axis=1) <= self.lengths[j] + EXTRA)
+                power = np.where(near, 1, 3)
                 for a in range(0, len(w), 4000):
-                    got = (kernel(part[w[a : a + 4000]], self.codes[j[a : a + 4000]]) / self.norm[j[a : a + 4000]]) ** 2
+                    got = (kernel(part[w[a : a + 4000]], self.codes[j[a : a + 4000]]) / self.norm[j[a : a + 4000]]) ** power[a : a + 4000]
                     for x, y, v in zip(w[a : a + 4000].tolist(), j[a : a + 4000].tolist(), got.tolist(), strict=True):
                         row = out.setdefault(owners[n][at + x], np.zeros(len(self.strings)))
                         row[y] = max(row[y], v)
