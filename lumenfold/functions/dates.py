@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FUTURE_DAYS
@@ -42,15 +42,19 @@ def exif_date(text: Column) -> Column:
     return _stamp([F.nullif(F.regexp_extract(text, _EXIF, i), F.lit("")) for i in range(1, 7)])
 
 
-def sidecar_date(body: Column) -> Column:
-    """photoTakenTime.timestamp of a JSON document, as seconds; null for bad documents and false values."""
-    value = F.try_variant_get(F.try_parse_json(body), "$.photoTakenTime.timestamp", "variant")
-    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
-    whole = F.when(kind == "STRING", F.when(F.trim(text).rlike(r"^[+-]?\d{1,18}$"), F.trim(text).try_cast("bigint")))
-    number = F.when(kind != "STRING", F.try_variant_get(value, "$", "double"))
-    cut = F.when(F.abs(number) < 1e17, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))).cast("bigint")
-    truth = F.when(kind == "BOOLEAN", F.when(text == "true", F.lit(1).cast("bigint")))
-    return epoch_seconds(F.coalesce(whole, F.when((number != 0) & (kind != "BOOLEAN"), cut), truth))
+def with_sidecar_date(df: DataFrame, body: str, name: str) -> DataFrame:
+    """df with photoTakenTime.timestamp of a JSON text as a date; null for bad documents and false values.
+
+    Each step is a column of its own, as later ones use it several times.
+    """
+    df = df.withColumn("__value", F.try_variant_get(F.try_parse_json(F.col(body)), "$.photoTakenTime.timestamp", "variant"))
+    df = df.withColumns({"__kind": F.schema_of_variant("__value"), "__text": F.trim(F.try_variant_get("__value", "$", "string")), "__number": F.try_variant_get("__value", "$", "double")})
+    kind, number = F.col("__kind"), F.col("__number")
+    whole = F.when((kind == "STRING") & F.col("__text").rlike(r"^[+-]?\d{1,18}$"), F.col("__text").try_cast("bigint"))
+    cut = F.when(~kind.isin("STRING", "BOOLEAN") & (number != 0) & (F.abs(number) < 1e17), F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))).cast("bigint")
+    truth = F.when((kind == "BOOLEAN") & (F.col("__text") == "true"), F.lit(1).cast("bigint"))
+    df = df.withColumn("__seconds", F.coalesce(whole, cut, truth))
+    return df.withColumn(name, epoch_seconds(F.col("__seconds"))).drop("__value", "__kind", "__text", "__number", "__seconds")
 
 
 def is_valid(date: Column, as_of: dt.datetime | Column) -> Column:

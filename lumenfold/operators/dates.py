@@ -16,23 +16,27 @@ EXIF_ORDER = ("sub_original", "sub_digitized", "sub_changed", "original", "chang
 
 def sidecar_dates(files: DataFrame, sidecars: DataFrame, as_of: dt.datetime) -> DataFrame:
     """files with sidecar_date: of `path.json`, or else of `stem.json`. sidecars: path, body."""
-    found = sidecars.select(F.col("path").alias("__json"), D.valid(D.sidecar_date(F.col("body")), as_of).alias("__date")).where(F.col("__date").isNotNull())
+    found = D.with_sidecar_date(sidecars.select(F.col("path").alias("__json"), F.col("body").alias("__body")), "__body", "__date").drop("__body")
+    found = found.where(D.is_valid(F.col("__date"), as_of))
     a = found.withColumnsRenamed({"__json": "__json_a", "__date": "__date_a"})
     b = found.withColumnsRenamed({"__json": "__json_b", "__date": "__date_b"})
     out = files.join(a, F.concat("path", F.lit(".json")) == F.col("__json_a"), "left").join(b, F.concat("stem", F.lit(".json")) == F.col("__json_b"), "left")
     return out.withColumn("sidecar_date", F.coalesce("__date_a", "__date_b")).drop("__json_a", "__date_a", "__json_b", "__date_b")
 
 
-def exif_valid(as_of: dt.datetime | Column, fields: tuple[str, ...] = EXIF_ORDER) -> Column:
-    return D.first_valid([D.exif_date(F.col(f)) for f in fields], as_of)
+def exif_dates(exif: DataFrame, as_of: dt.datetime | Column, fields: tuple[str, ...] = EXIF_ORDER) -> DataFrame:
+    """path, __exif: the first valid date of the fields, in their order."""
+    parsed = exif.select("path", *[D.exif_date(F.col(f)).alias(f"__{f}") for f in fields])
+    return parsed.select("path", D.first_valid([F.col(f"__{f}") for f in fields], as_of).alias("__exif"))
 
 
 def own_dates(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None = None, exif: DataFrame | None = None) -> DataFrame:
     """files (path, name, stem, media) with own_date. exif: path and the fields of EXIF_ORDER; for photos only."""
     out = sidecar_dates(files, sidecars, as_of) if sidecars is not None else files.withColumn("sidecar_date", F.lit(None).cast("timestamp_ntz"))
-    out = out.join(exif.select("path", exif_valid(as_of).alias("__exif")), "path", "left") if exif is not None else out.withColumn("__exif", F.lit(None).cast("timestamp_ntz"))
+    out = out.join(exif_dates(exif, as_of), "path", "left") if exif is not None else out.withColumn("__exif", F.lit(None).cast("timestamp_ntz"))
     photo = F.col("media") == "photo"
-    return out.withColumn("own_date", F.coalesce("sidecar_date", F.when(photo, F.col("__exif")), D.valid(D.filename_date(F.col("name")), as_of))).drop("__exif", "sidecar_date")
+    out = out.withColumn("__named", D.filename_date(F.col("name")))
+    return out.withColumn("own_date", F.coalesce("sidecar_date", F.when(photo, F.col("__exif")), D.valid(F.col("__named"), as_of))).drop("__exif", "__named", "sidecar_date")
 
 
 def sibling_dates(dated: DataFrame) -> DataFrame:
