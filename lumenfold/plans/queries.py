@@ -274,7 +274,7 @@ def sibling_date(spark, d):
 
 
 @query(
-    """SELECT CASE WHEN ts IS NULL THEN 'No_Date' ELSE CASE WHEN media = 'photo' THEN 'Photos/' ELSE 'Videos/' END || strftime(ts, '%Y-%m') END AS target_dir,
+    """SELECT CASE WHEN ts IS NULL OR year(ts) < 1900 OR ts > TIMESTAMP '2026-01-31' THEN 'No_Date' ELSE CASE WHEN media = 'photo' THEN 'Photos/' ELSE 'Videos/' END || strftime(ts, '%Y-%m') END AS target_dir,
     count(*)::BIGINT AS n_files, sum(length)::BIGINT AS n_bytes
     FROM (SELECT e.*, row_number() OVER (PARTITION BY length, h ORDER BY path) AS n FROM eligible e) e JOIN filename USING (path) WHERE n = 1 GROUP BY 1"""
 )
