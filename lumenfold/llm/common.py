@@ -51,6 +51,19 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(n))
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system, as workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this system
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch, each slice with about `most` text bytes at most, or a single longer row."""
     import numpy as np

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mapped, slices
+from .common import documents, give_back, mapped, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -41,7 +41,9 @@ GROUP_BYTES, GROUP_UNITS = 64 << 20, 250_000
 UNKNOWN_LESS = 10.0
 MAX_PIECES = 1_000_000
 #: Encoded units that a worker packs at once.
-PACK = 200_000
+PACK = 100_000
+#: Text bytes of a row of packed documents.
+SLICE_BYTES = 1 << 20
 
 
 class Table:
@@ -142,9 +144,10 @@ def runs(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int,
     compiled = re.compile(pattern)
     run, k = Run(compiled), 0
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", SLICE_BYTES):
             if run.full():
                 run, k = Run(compiled), k + 1
+                give_back()
             yield rows.column("part")[0].as_py() << 24 | k, run, rows, run.add(rows.column("text").to_pylist())
 
 
@@ -187,6 +190,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             last = g, run
         if last:
             yield from rows(*last)
+        last = None
+        give_back()
 
     def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as unit numbers, a slice in a row."""
@@ -194,6 +199,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             digests = [hashlib.blake2b((t or "").encode("utf-8"), digest_size=8).digest() for t in part.column("text").to_pylist()]
             blob = packed_rows(part.column("doc_id").to_pylist(), digests, numbers)
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([len(run.number)], pa.int32()), pa.array([blob], pa.binary())], ["g", "known", "blob"])
+        give_back()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units' ids of many runs as one compressed row per run, for up to PACK rows at a time."""
@@ -214,6 +220,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 held = []
         if held:
             yield rows(held)
+        held = []
+        give_back()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a run: its units' ids, then its documents."""
@@ -221,7 +229,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for own, known, blob in zip(batch.column("g").to_pylist(), batch.column("known").to_pylist(), batch.column("blob"), strict=True):
                 if g != own:
-                    g, parts, flat = own, [], None
+                    g, parts, flat, offsets = own, [], None, None
+                    give_back()
                 if known is None:
                     part = pa.ipc.open_stream(blob.as_py()).read_all().combine_chunks()
                     ids = part.column("ids").combine_chunks()
