@@ -7,6 +7,13 @@ to a group per band; a group above `most` classes is dealt again by bands of its
 pair must again agree somewhere. A group is cut into tiles of classes with one population count, and the
 tile pairs whose counts differ by more than RADIUS are skipped, as no link can be there. The others are
 compared whole. A tile pair yields a spanning forest of its links, not all its pairs; components are the same.
+A radius other than RADIUS has no bands: all classes are one group, cut into tiles in the same way.
+
+simhash_stage has another definition: texts are near copies if the Jaccard similarity of their sets of
+NEAR_SHINGLE-word shingles is NEAR_SIMILARITY or more. Texts of one set are one class. Links of RADIUS bits
+are confirmed by their sets first; then all pairs of classes within NEAR_RADIUS bits that these links have
+not joined yet, and whose sizes allow the similarity, are confirmed too. Only what differs by more than
+NEAR_RADIUS bits is not seen.
 
 Rows: null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows and
 ids are kept. A component's id is its smallest doc_id, null only if all are null. Extra columns are
@@ -22,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stored
+from .common import documents, mapped, slices, stored
 from .graph import components
 
 RADIUS = 3
@@ -30,6 +37,10 @@ SHINGLE = 3
 #: Classes of a group that are one tile, and those beyond which a group is dealt again.
 TILE, REFINE = 4096, 65536
 SEED = 42
+#: The pipeline's near copies: words of a shingle, Jaccard similarity, and bits within which they are sought.
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 16
+#: Classes of a tile of the wide comparison, and the least number of tiles, which spreads small inputs too.
+WIDE_TILE, WIDE_LEAST = 16384, 20
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
@@ -162,8 +173,8 @@ def bands(fp: str, first: int, width: int, n: int) -> list:
 
 def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE, refine: int = REFINE) -> DataFrame:
     """a, b: links between distinct fingerprints (fp) whose components are those of all pairs within radius."""
-    if radius != RADIUS:
-        raise ValueError("the bands are laid out for 3 differing bits")
+    if radius != RADIUS:  # the bands are laid out for 3 differing bits
+        return tiled_links(stored(classes.select("fp", F.lit(0).cast("long").alias("key"))), radius, tile)
     one = classes.select("fp", F.posexplode(F.array(*bands("fp", 0, 16, 4))).alias("band", "value")).withColumn("key", F.xxhash64("band", "value"))
     sized = stored(one.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"))
     grouped = one.join(sized, ["band", "value"])  # a class alone in its group has no link there
@@ -172,7 +183,11 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE, refine: in
     # the 48 bits outside the band: those above it, then those below it
     rest = F.expr("CASE band WHEN 0 THEN fp >>> 16 WHEN 3 THEN fp & 281474976710655L WHEN 1 THEN ((fp >>> 32) << 16) | (fp & 65535L) ELSE ((fp >>> 48) << 32) | (fp & 4294967295L) END")
     again = grouped.where(F.col("n") > refine).withColumn("rest", rest).select("fp", "band", "value", F.posexplode(F.array(*parts)).alias("band2", "value2")).select("fp", F.xxhash64("band", "value", "band2", "value2").alias("key"))
-    dealt = stored(first.union(again))
+    return tiled_links(stored(first.union(again)), radius, tile)
+
+
+def tiled_links(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
+    """a, b: links within the groups of dealt (fp, key)."""
     # groups above one tile: tiles of an equal population count, met only by tiles within the radius of it
     counts = dealt.groupBy("key", F.bit_count("fp").alias("bits")).agg(F.count("*").alias("n"))
     over = counts.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bits", F.ceil(F.col("n") / tile).cast("int").alias("k"))).alias("tiles")).where(F.col("all") > tile)  # at most 65 counts
@@ -198,9 +213,107 @@ def simhash_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return fps.join(ids, fps["fp"] == F.col("class"), "left").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.array(shingle_hashes(text, n), dtype=np.uint64))
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text_hash, sid (a hash of the set of shingles), fp, size (of the set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sids, fps, sizes = [], [], []
+                for t in part.column("text").to_pylist():
+                    hashes = shingle_hashes(t, n)
+                    own = np.unique(np.array(hashes, dtype=np.uint64))
+                    sids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    fps.append(majority(hashes))
+                    sizes.append(len(own))
+                signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sids, fps, sizes)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *signed], ["doc_id", "text_hash", "sid", "fp", "size"])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    return mapped(own, run, "doc_id long, text_hash long, sid long, fp long, size long")
+
+
+def wide_pairs(classes: DataFrame, radius: int, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
+    """a, b: all pairs of classes (sid, fp, size, comp) within radius, of different comp, whose sizes allow the similarity."""
+    k = max(WIDE_LEAST, -(-classes.count() // tile))
+    dealt = classes.withColumn("no", F.pmod(F.xxhash64("sid"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    dealt = dealt.select((F.least("no", "other") * k + F.greatest("no", "other")).alias("key"), (F.col("no") > F.col("other")).alias("side"), (F.col("no") == F.col("other")).alias("own"), "sid", "fp", "size", "comp")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("size")
+        sid, fp, size, comp = (group.column(c).to_numpy() for c in ("sid", "fp", "size", "comp"))
+        fp, side = fp.view(np.uint64), group.column("side").to_numpy()
+        same = bool(group.column("own")[0].as_py())
+        left, right = (np.arange(len(sid)),) * 2 if same else (np.nonzero(~side)[0], np.nonzero(side)[0])
+        of, out = size[right], [np.empty((0, 2), dtype=np.int64)]
+        for at in range(0, len(left), 128):
+            i = left[at : at + 128]
+            # wider by one than the similarity allows, against rounding
+            a, b = np.searchsorted(of, size[i[0]] * similarity - 1), np.searchsorted(of, size[i[-1]] / similarity + 1, side="right")
+            j = right[a:b]
+            x, y = np.nonzero(np.bitwise_count(fp[i][:, None] ^ fp[j][None, :]) <= radius)
+            x, y = i[x], j[y]
+            ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) + 1 >= similarity * np.maximum(size[x], size[y]))
+            if same:
+                ok &= x < y
+            out.append(np.stack([sid[x[ok]], sid[y[ok]]], axis=1))
+        both = np.concatenate(out)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return dealt.groupBy("key").applyInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs of classes (a, b) whose sets have the similarity. classes: sid, text_hash of one of its texts."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([shingle_set(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["sid", "members"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("mine"), batch.column("other"), strict=True):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = stored(pairs.distinct())
+    need = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("text_hash").alias("own_hash"))
+    texts = docs.select(F.xxhash64("text").alias("own_hash"), F.col("text").cast("string")).join(need, "own_hash").groupBy("sid").agg(F.any_value("text").alias("text"))
+    found = stored(mapped(texts, sets, "sid long, members binary"))
+    met = pairs.join(found.select(F.col("sid").alias("a"), F.col("members").alias("mine")), "a").join(found.select(F.col("sid").alias("b"), F.col("members").alias("other")), "b")
+    return stored(mapped(met.select("a", "b", "mine", "other"), check, "a long, b long"))
+
+
+def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """doc_id, text_hash, root (the class that names the component of near copies): a row per document."""
+    rows = stored(sketches(docs, n))
+    classes = stored(rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash")))
+    # the texts of a class have one set, but its hashes may repeat, so fp is that of one of them
+    heads = stored(classes.groupBy("fp").agg(F.min("sid").alias("head")))
+    near = links(heads.select("fp")).distinct()
+    far = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = classes.join(heads, "fp").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
+    first = confirmed(far.union(equal), docs, classes, n, similarity)
+    joined = components(first)
+    placed = stored(classes.join(joined, classes["sid"] == joined["node"], "left").select("sid", "fp", "size", F.coalesce("root", "sid").alias("comp")))
+    second = confirmed(wide_pairs(placed, radius, similarity), docs, classes, n, similarity)
+    roots = components(first.union(second))
+    return rows.join(roots, rows["sid"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, then text hash; of equal rows, one."""
-    groups = simhash_groups(docs)
+    """One document of each component of near copies: that with the smallest doc_id, then text hash; of equal rows, one."""
+    groups = near_groups(docs)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     kept = docs.withColumn("own_hash", F.xxhash64("text")).join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
     return kept.dropDuplicates(["doc_id", "own_hash"]).select(*docs.columns)
