@@ -2,7 +2,7 @@
 
 Encoding: a text becomes "▁" and itself with spaces as "▁", cut into units that no piece crosses (a run of
 "▁" with the characters up to the next one; characters that no longer piece holds stand alone). Each
-distinct unit of the corpus is encoded once: its substrings of at most the longest piece's length are
+distinct unit of the corpus of up to MAX_UNIT characters is encoded once: its substrings of at most the longest piece's length are
 exploded and equi-joined to the piece table, the matches are grouped by unit as the edges of a lattice, and
 a Viterbi fold (Spark's `aggregate`) picks the path with the largest score, the earliest start among equals;
 characters without a piece become byte pieces. That is the unigram rule of the SentencePiece library; a
@@ -15,8 +15,10 @@ Only those numbered units are joined to the encoded ones, and the documents trav
 numbers; both meet per run, where ids are looked up. No row is made per word of the corpus and hot words
 cost one row per run.
 
-Rows: a null or empty text has no ids. Units above MAX_UNIT characters are encoded in parts of that size,
-which decode to the same text. Repeated rows are kept. Extra columns are ignored. An empty table gives an
+A longer unit (unspaced scripts, rulers, wide indents) is folded whole by the same rule in the worker that
+reads it, once a run, in time and memory that grow with its length.
+
+Rows: a null or empty text has no ids. Repeated rows are kept. Extra columns are ignored. An empty table gives an
 empty result. "▁" in a text decodes as a space, as in the library; then `exact` is false.
 """
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,8 @@ from .common import documents, give_back, mapped, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_UNIT, MAX_RUN = 400, 100
+#: Characters of the longest unit that goes through the lattice.
+MAX_UNIT = 400
 GROUP_BYTES, GROUP_UNITS = 64 << 20, 250_000
 #: What the library takes off the least score for a character without a piece (a fixed value).
 UNKNOWN_LESS = 10.0
@@ -64,7 +68,7 @@ class Table:
             raise ValueError("a piece holds a space after other characters")
         within = {c for p, _, _ in self.rows if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in within)
-        self.pattern = f"{SPACE}{{0,{MAX_RUN}}}[^{SPACE}{alone}]{{1,{MAX_UNIT}}}|{SPACE}{{1,{MAX_RUN}}}" + (f"|[{alone}]" if alone else "")
+        self.pattern = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
         # how ids are read: text, or bytes
         self.bytes_of = [b""] * len(ids)
         for p, i, _ in self.rows:
@@ -115,6 +119,55 @@ def encoded_units(units: DataFrame, table: Table) -> DataFrame:
     return path.select("unit", F.expr(f"if(exists(path, p -> p.id < 0), {whole}, transform(path, p -> p.id))").alias("ids"))
 
 
+class Fold:
+    """The lattice's Viterbi rule for units of any length, in a worker; its table is built when it is first used."""
+
+    def __init__(self, table: Table):
+        self.packed = "\n".join(p for p, _, _ in table.rows), np.array([i for _, i, _ in table.rows], dtype=np.int32), np.array([s for _, _, s in table.rows])
+        if any("\n" in p for p, _, _ in table.rows):
+            raise ValueError("a piece holds a line feed")
+        self.unknown, self.byte_ids, self.known = table.unknown, table.byte_ids, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
+
+    def build(self) -> None:
+        """Every piece with its id and score, and every beginning of one (None)."""
+        joined, ids, scores = self.packed
+        pieces = joined.split("\n")
+        self.known = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self.known.update(zip(pieces, zip(ids.tolist(), scores.tolist(), strict=True), strict=True))
+
+    def ids(self, unit: str) -> list[int]:
+        if self.known is None:
+            self.build()
+        known, n, least = self.known, len(unit), float("-inf")
+        best, start, piece = array("d", [least]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for b in range(n):
+            s, e = best[b], b + 1
+            one = unit[b]
+            found = known.get(one)
+            if not found and s + self.unknown > best[e]:
+                best[e], start[e], piece[e] = s + self.unknown, b, -1
+            while one in known:
+                found = known[one]
+                # starts come in order, so an equal score from a later one does not replace
+                if found and s + found[1] > best[e]:
+                    best[e], start[e], piece[e] = s + found[1], b, found[0]
+                if e == n:
+                    break
+                e += 1
+                one = unit[b:e]
+        out, e = [], n
+        while e:
+            b = start[e]
+            out += [piece[e]] if piece[e] >= 0 else [self.byte_ids[x] for x in reversed(unit[b:e].encode("utf-8"))]
+            e = b
+        out.reverse()
+        return out
+
+
 # ---- documents to units and back
 
 
@@ -123,6 +176,8 @@ class Run:
 
     def __init__(self, pattern: re.Pattern):
         self.pattern, self.number, self.size = pattern, {}, 0
+        #: Numbers and texts of units too long for the lattice, as they appear; structures() takes them off.
+        self.long: list[tuple[int, str]] = []
 
     def add(self, texts: list[str | None]) -> list[np.ndarray]:
         number, out = self.number, []
@@ -130,6 +185,8 @@ class Run:
             found = units_of(t, self.pattern)
             for u in found:
                 if u not in number:
+                    if len(u) > MAX_UNIT:
+                        self.long.append((len(number), u))
                     number[u] = len(number)
             out.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
             self.size += len(t or "")
@@ -170,18 +227,18 @@ def ipc_bytes(table: pa.Table) -> bytes:
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids, exact (the ids decode to the text) of each document."""
     table = Table(model)
-    pattern, bytes_of = table.pattern, table.bytes_of
+    pattern, bytes_of, fold = table.pattern, table.bytes_of, Fold(table)
     # the partition that is read, which names its runs in both branches below
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().alias("part"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each run's units, in a row each."""
+        """Each run's units, in a row each, but the long ones."""
 
         def rows(g: int, run: Run) -> Iterator[pa.RecordBatch]:
             units = list(run.number)
             for a in range(0, len(units), 50_000):
-                part = units[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([g] * len(part), pa.int64()), pa.array(np.arange(a, a + len(part), dtype=np.int32))], ["unit", "g", "no"])
+                part = [(u, no) for no, u in enumerate(units[a : a + 50_000], a) if len(u) <= MAX_UNIT]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part], pa.string()), pa.array([g] * len(part), pa.int64()), pa.array([no for _, no in part], pa.int32())], ["unit", "g", "no"])
 
         last = None
         for g, run, _, _ in runs(batches, pattern):
@@ -194,8 +251,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         give_back()
 
     def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents as unit numbers, a slice in a row."""
+        """Documents as unit numbers, a slice in a row; before it, the ids of its long units."""
         for g, run, part, numbers in runs(batches, pattern):
+            if run.long:
+                ids = pa.table({"no": pa.array([no for no, _ in run.long], pa.int32()), "ids": pa.array([fold.ids(u) for _, u in run.long], pa.list_(pa.int32()))})
+                run.long = []
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.nulls(1, pa.int32()), pa.array([ipc_bytes(ids)], pa.binary())], ["g", "known", "blob"])
             digests = [hashlib.blake2b((t or "").encode("utf-8"), digest_size=8).digest() for t in part.column("text").to_pylist()]
             blob = packed_rows(part.column("doc_id").to_pylist(), digests, numbers)
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([len(run.number)], pa.int32()), pa.array([blob], pa.binary())], ["g", "known", "blob"])

@@ -83,6 +83,30 @@ def test_several_runs(spark, monkeypatch):
     assert X.encode(docs).where("exact").count() == 60
 
 
+def test_long_units_are_folded_whole(spark, table):
+    """Words of over 400 characters, runs of over 100 spaces and rulers, against one uncut fold."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), 900)) for _ in range(20)]
+    words += ["-" * 777, "=*" * 300, "日本語" * 200, "\U0001f600é" * 250, "x" * 400, "x" * 399]
+    texts = words + [" " * 150 + "a", " " * 1000, "b" + " " * 500, words[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in X.encode(docs).collect()}
+    assert len(got) == len(texts) and all(r["exact"] for r in got.values())
+    cut = re.compile(f"{X.SPACE}*[^{X.SPACE}]+|{X.SPACE}+")
+    alone = {c for c in map(chr, range(128))} - {c for p, _, _ in table.rows if len(p) > 1 for c in p} - {" "}
+    for i, t in enumerate(texts):
+        if not alone & set(t):
+            assert got[i]["ids"] == [x for u in cut.findall(X.SPACE + t.replace(" ", X.SPACE)) for x in plain(u, table)[1]]
+    assert not alone & set("".join(texts[:20] + texts[-4:]))
+
+
+def test_the_fold_is_the_lattice(table):
+    fold, rng = X.Fold(table), np.random.default_rng(6)
+    for _ in range(200):
+        unit = X.SPACE * int(rng.integers(0, 30)) + "".join(rng.choice(list("etaoin-=é日\U0001f600"), int(rng.integers(1, 60))))
+        assert fold.ids(unit) == plain(unit, table)[1]
+
+
 def test_token_rules():
     ends, sections = np.array([3, 5, 9, 10]), np.array([4, 6, 6, 10])
     assert tokens.attribute(ends, sections, "start")[0].tolist() == [2, 1, 0, 1]
