@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mmap
 import struct
 
 import numpy as np
@@ -16,7 +17,7 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 EXIF = "sub_original string, sub_digitized string, sub_changed string, original string, changed string, lat_ref string, lat array<double>, lon_ref string, lon array<double>"
 
 
-def tiff_block(data: bytes) -> bytes | None:
+def tiff_block(data: bytes | mmap.mmap) -> bytes | mmap.mmap | None:
     """The TIFF structure in a JPEG, PNG, WebP or TIFF file. (HEIC files are not read.)"""
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
@@ -47,7 +48,7 @@ def tiff_block(data: bytes) -> bytes | None:
     return None
 
 
-def directory(block: bytes, at: int, order: str) -> dict[int, object]:
+def directory(block: bytes | mmap.mmap, at: int, order: str) -> dict[int, object]:
     """The fields of one directory: strings, numbers, or lists of them."""
     out: dict[int, object] = {}
     for i in range(struct.unpack_from(order + "H", block, at)[0]):
@@ -71,7 +72,7 @@ def directory(block: bytes, at: int, order: str) -> dict[int, object]:
     return out
 
 
-def exif_of(data: bytes | None) -> tuple:
+def exif_of(data: bytes | mmap.mmap | None) -> tuple:
     """The nine fields of EXIF; nulls for what is missing or broken."""
     none: tuple = (None,) * 9
     try:
@@ -108,6 +109,24 @@ def exif_fields(content: Column) -> Column:
     return F.pandas_udf(read, EXIF)(content)
 
 
+def exif_at(path: str) -> tuple:
+    """The nine fields of a file, which is mapped, so that a directory at its end costs no read of the rest."""
+    try:
+        with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return exif_of(data)
+    except (OSError, ValueError):  # unreadable or empty
+        return (None,) * 9
+
+
+def exif_fields_at(path: Column | str) -> Column:
+    """The embedded fields of the picture at a path, as a struct."""
+
+    def read(path: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([exif_at(x) for x in path], columns=[p.split()[0] for p in EXIF.split(", ")])
+
+    return F.pandas_udf(read, EXIF)(path)
+
+
 def laplacian(grey: np.ndarray) -> float:
     """Population variance of the four-neighbour Laplacian; edges mirror without repeating the border."""
     g = np.pad(grey.astype(np.float64), 1, mode="reflect") if min(grey.shape) > 1 else np.pad(grey.astype(np.float64), 1, mode="edge")

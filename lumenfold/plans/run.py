@@ -28,7 +28,7 @@ def catalog(spark: SparkSession, options: Options, history_path: str | None = No
         sizes = files.select(F.col("length").alias("__length")).distinct()
         hashed = readers.digests(dst.join(sizes, F.col("length") == F.col("__length"), "left_semi"))
         dst = dst.join(hashed, "path", "left").cache()
-    exif = readers.exif(scan(spark, options.src_root, content=True)).cache()
+    exif = readers.exif(files).cache()
     places = locations(exif, cells, gazetteer) if options.gps_enabled and (cells is not None or gazetteer is not None) else None
     return Catalog(
         files=files,

@@ -12,13 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stream_hash
-from ..functions.images import exif_fields, image_sharpness
+from ..functions.images import exif_fields_at, image_sharpness
 from ..model import HISTORY
 from .walkfs import scan
 
-#: Bytes at the head of a picture in which its embedded fields are sought.
-HEAD = 1 << 18
-
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     """The record of earlier runs, from Parquet or from one JSON object; empty if it is absent or broken."""
@@ -44,9 +41,9 @@ def digests(files: DataFrame) -> DataFrame:
     return stream_hash(files.select("path"))
 
 
-def exif(files_with_content: DataFrame) -> DataFrame:
-    """path and the embedded fields of files (path, content)."""
-    return files_with_content.select("path", exif_fields(F.substring("content", 1, HEAD)).alias("e")).select("path", "e.*")
+def exif(files: DataFrame) -> DataFrame:
+    """path and the embedded fields of files, sought in the whole file where it lies; only the parts needed are read."""
+    return files.select("path", exif_fields_at("path").alias("e")).select("path", "e.*")
 
 
 def sharpness(spark: SparkSession, root: str) -> DataFrame:

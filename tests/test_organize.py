@@ -4,13 +4,14 @@ import datetime as dt
 import json
 import os
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.model import Options
 from lumenfold.operators import naming, ranking
-from lumenfold.plans.run import run
+from lumenfold.plans.run import catalog, run
 from lumenfold.sources import readers, sinks
 from lumenfold.sources.walkfs import scan
 from lumenfold.streaming.follow import follow
@@ -113,6 +114,34 @@ def test_history_files(spark, tmp_path):
         assert [tuple(r) for r in readers.history(spark, path).collect()] == [("a", 1.5, 3, "d")]
 
 
+def test_exif_at_the_end_of_large_pictures(spark, tmp_path):
+    """WebP, PNG and TIFF of over 256 KiB with the fields behind the picture."""
+    date, big = b"2020:01:02 03:04:05\0", 1 << 19
+
+    def tiff(gap):
+        at = 8 + gap  # directory with two entries, then the date and the position's directory
+        text, gps = at + 2 + 24 + 4, at + 2 + 24 + 4 + 20
+        first = struct.pack("<HHHIIHHIII", 2, 306, 2, 20, text, 34853, 4, 1, gps, 0)
+        second = struct.pack("<HHHI4sHHIII", 2, 1, 2, 2, b"N\0\0\0", 2, 5, 3, gps + 30, 0)
+        return b"II*\0" + struct.pack("<I", at) + b"\1" * gap + first + date + second + struct.pack("<6I", 25, 1, 3, 1, 0, 1)
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    riff = lambda kind, body: kind + struct.pack("<I", len(body)) + body
+    files = {
+        "a.tif": tiff(big),
+        "b.png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", bytes(big)) + chunk(b"eXIf", tiff(0)) + chunk(b"IEND", b""),
+        "c.webp": riff(b"RIFF", b"WEBP" + riff(b"VP8L", bytes(big)) + riff(b"EXIF", tiff(0))),
+        "d.jpg": b"\xff\xd8" + bytes(big),
+        "e.jpg": b"",
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    tables = catalog(spark, Options(str(tmp_path), str(tmp_path / "out")))
+    got = {os.path.basename(r["path"]): (r["changed"], r["lat_ref"], r["lat"]) for r in tables.exif.collect()}
+    found = ("2020:01:02 03:04:05", "N", [25.0, 3.0, 0.0])
+    assert got == {"a.tif": found, "b.png": found, "c.webp": found, "d.jpg": (None,) * 3, "e.jpg": (None,) * 3}
+
+
 def test_unique_names_against_the_loop(spark):
     rng = random.Random(5)
     words = ["a", "a_1", "a_1_1", "a_2", "b", "b_1", "IMG", "IMG_20200101", "_1", "_7", "x.y"]
