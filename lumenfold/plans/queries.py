@@ -297,6 +297,16 @@ def unique_name(spark, d):
     return naming.unique_names(rows).select("path", "target_name")
 
 
+def unique_name_all(spark, d):
+    """unique_name on all files. Without SQL, which cannot follow a chain of collisions; tests compare it with the loop."""
+    rows = X.media_files(spark, d).select("path", F.lit("/dst/No_Date").alias("target_dir"), "name")
+    return naming.unique_names(rows).select("path", "target_name")
+
+
+#: Queries that SQL cannot express.
+ROWS_ONLY = {"unique_name_all": unique_name_all}
+
+
 @query("SELECT path, route, outcome, tag, target_dir FROM plan")
 def route_plan(spark, d):
     return plan_of(spark, d).select("path", "route", "outcome", "tag", "target_dir")

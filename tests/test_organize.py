@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.model import Options
 from lumenfold.operators import naming, ranking
+from lumenfold.plans import fixtures
 from lumenfold.plans.run import catalog, run
 from lumenfold.sources import readers, sinks
 from lumenfold.sources.walkfs import scan
@@ -156,6 +157,27 @@ def test_unique_names_against_the_loop(spark):
     assert [r["target_name"] for r in sorted(free.collect())] == plain
 
 
+def test_unique_names_of_all_files(spark):
+    """The query on every file, and these with names that meet the numbers given, against the loop in path order."""
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.01"
+    files = [(r["path"], r["name"]) for r in fixtures.media_files(spark, d).select("path", "name").collect()]
+
+    def loop(rows):
+        names = [n for _, n in sorted(rows)]
+        parts = [os.path.splitext(n) for n in names]
+        return dict(zip([p for p, _ in sorted(rows)], naming.assign(names, [b for b, _ in parts], [e for _, e in parts], set()), strict=True))
+
+    got = {r["path"]: r["target_name"] for r in entry.queries()["unique_name_all"](spark, d).collect()}
+    assert got == loop(files) and len(set(got.values())) == len(files)
+    changed = [p for p, n in files if got[p] != n]
+    assert any("/misc" in p for p in changed) and any("/misc" not in p for p in changed)
+    more = files + [(f"/src/x{i}/{n}", n) for i, n in enumerate(["misc5.jpg", "misc5_1.jpg", "misc5_1.jpg", "misc5_1_1.jpg", "IMG_20211345.jpg", "IMG_20211345.jpg"])]
+    out = naming.unique_names(spark.createDataFrame([(p, "/dst", n) for p, n in more], "path string, target_dir string, name string"))
+    assert {r["path"]: r["target_name"] for r in out.collect()} == loop(more)
+
+
 def test_positions(spark):
     rng = random.Random(1)
     rows = [(rng.choice("xy"), rng.choice([None, "p", "q", "r"]), i, rng.randrange(10)) for i in range(200)]
