@@ -40,6 +40,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if files are only read and projected, so that a partition computed again has the same rows in order; else stored."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-") for line in plan.splitlines() if line.strip()]
+    return df if all(x.startswith(("Project", "Filter", "Relation", "LocalRelation")) for x in nodes) else stored(df)
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with batches of bounded bytes: thousands of long texts in one would fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")

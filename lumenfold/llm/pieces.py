@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Encoding: a text becomes "▁" and itself with spaces as "▁", cut into units that no piece crosses (a run of
-"▁" with the characters up to the next one; characters that no longer piece holds stand alone). Each
+Encoding: a text becomes "▁" and itself with spaces as "▁", cut into units wherever its two adjoining characters
+stand together in no piece, so that no piece crosses a cut. Each
 distinct unit of the corpus of up to MAX_UNIT characters is encoded once: its substrings of at most the longest piece's length are
 exploded and equi-joined to the piece table, the matches are grouped by unit as the edges of a lattice, and
 a Viterbi fold (Spark's `aggregate`) picks the path with the largest score, the earliest start among equals;
@@ -10,10 +10,11 @@ unit's score equals that of the library's best path for the same pieces and scor
 (The piece table at hand was made for pair merging. The library's merge order is not a best path, so it gives
 other ids for part of the words; both decode to the same text.)
 
-Getting back to documents: a worker reads a run of up to GROUP_BYTES of text and numbers its distinct units.
-Only those numbered units are joined to the encoded ones, and the documents travel as compressed unit
-numbers; both meet per run, where ids are looked up. No row is made per word of the corpus and hot words
-cost one row per run.
+Getting back to documents: a worker reads a run of up to GROUP_BYTES of text once, numbers its distinct words
+and units, and sends out two things in one exchange: the units, by bucket of their checksum, and the documents
+as compressed unit numbers, by run. A bucket's units are encoded once, and their ids go back to the runs that have them, in
+blocks; there documents become ids. No row is made per word of the corpus, and hot words cost one entry per run.
+The numbers of buckets and partitions follow the size of the input.
 
 A longer unit (unspaced scripts, rulers, wide indents) is folded whole by the same rule in the worker that
 reads it, once a run, in time and memory that grow with its length.
@@ -27,25 +28,29 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, mapped, slices
+from .common import documents, give_back, mapped, settled, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of the longest unit that goes through the lattice.
 MAX_UNIT = 400
-GROUP_BYTES, GROUP_UNITS = 64 << 20, 250_000
+#: Characters of a run, and its distinct words, beyond which the next run begins.
+GROUP_BYTES, GROUP_WORDS = 32 << 20, 500_000
+#: Input bytes of a partition of the exchanges, above the session's number of them, and buckets of units a partition.
+PART_BYTES, BUCKETS = 256 << 20, 8
 #: What the library takes off the least score for a character without a piece (a fixed value).
 UNKNOWN_LESS = 10.0
 MAX_PIECES = 1_000_000
-#: Encoded units that a worker packs at once.
-PACK = 100_000
 #: Text bytes of a row of packed documents.
 SLICE_BYTES = 1 << 20
 
@@ -66,9 +71,7 @@ class Table:
         self.unknown = min(s for _, _, s in self.rows) - UNKNOWN_LESS
         if any(SPACE in p.lstrip(SPACE) for p, _, _ in self.rows):
             raise ValueError("a piece holds a space after other characters")
-        within = {c for p, _, _ in self.rows if len(p) > 1 for c in p}
-        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in within)
-        self.pattern = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
+        self.pairs = sorted({p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)})
         # how ids are read: text, or bytes
         self.bytes_of = [b""] * len(ids)
         for p, i, _ in self.rows:
@@ -77,8 +80,56 @@ class Table:
             self.bytes_of[i] = bytes([b])
 
 
-def units_of(text: str | None, pattern: re.Pattern) -> list[str]:
-    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
+class Cutter:
+    """Words of texts, and units of words. A word has the space before it, or the line feed where none can be in a piece."""
+
+    def __init__(self, pairs: list[str]):
+        self.pairs = pairs
+        self.feeds = not any("\n" in p for p in pairs)  # a line feed stands alone, so it may begin a word
+        self.class_of = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"class_of": None, "together": None}
+
+    def build(self) -> None:
+        chars = sorted(set("".join(self.pairs)))
+        self.class_of = np.zeros(ord(chars[-1]) + 2 if chars else 2, dtype=np.int32)  # 0: in no pair, as the last place
+        self.class_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.together = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        for p in self.pairs:
+            self.together[self.class_of[ord(p[0])], self.class_of[ord(p[1])]] = True
+
+    def words(self, text: str | None) -> list[str]:
+        """The words, each without its first space; those that begin with a line feed had none."""
+        if not text:
+            return []
+        if text[0] != " " and "  " not in text:
+            return (text.replace("\n", " \n") if self.feeds else text).split(" ")
+        found = re.findall(" +[^ \n]*|\n[^ \n]*" if self.feeds else " +[^ ]*", " " + text)
+        return [w[1:] if w[0] == " " else w for w in found]
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all words, one after the other, and how many each word has."""
+        if self.class_of is None:
+            self.build()
+        marked = [w if self.feeds and w[:1] == "\n" else SPACE + w for w in words]
+        joined = "".join(marked).replace(" ", SPACE)
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        classes = self.class_of[np.minimum(codes, len(self.class_of) - 1)]
+        firsts = np.zeros(len(codes), dtype=bool)
+        firsts[1:] = ~self.together[classes[:-1], classes[1:]]
+        sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        starts = np.cumsum(sizes) - sizes
+        firsts[starts] = True
+        at = np.nonzero(firsts)[0]
+        counts = np.diff(np.searchsorted(at, np.append(starts, len(codes))))
+        ends = at.tolist()
+        return [joined[a:b] for a, b in zip(ends, [*ends[1:], len(codes)], strict=True)], counts
+
+
+def units_of(text: str | None, cutter: Cutter) -> list[str]:
+    words = cutter.words(text)
+    return cutter.cut(words)[0] if words else []
 
 
 def decode_ids(ids: list[int], bytes_of: list[bytes]) -> str:
@@ -90,33 +141,38 @@ def decode_ids(ids: list[int], bytes_of: list[bytes]) -> str:
 # ---- the lattice
 
 
-def best_path(edges: str = "edges", n: str = "n") -> str:
-    """SQL: the Viterbi path of a unit as (start, length, id) structs. edges: array of (b, l, id, score), b from 0."""
-    forward = (
-        f"aggregate(sequence(1, {n}), array(named_struct('s', 0D, 'nb', 0, 'id', -1)), (acc, k) -> concat(acc, array("
-        f"array_max(transform(filter({edges}, x -> x.b + x.l = k), x -> named_struct('s', acc[x.b].s + x.score, 'nb', -x.b, 'id', x.id))))))"
-    )
-    return (
-        f"reverse(aggregate(sequence(1, {n}), named_struct('k', {n}, 'path', array()::array<struct<b:int,l:int,id:int>>, 'f', {forward}), "
-        "(acc, i) -> if(acc.k = 0, acc, named_struct('k', -acc.f[acc.k].nb, 'path', concat(acc.path, array(named_struct('b', -acc.f[acc.k].nb, 'l', acc.k + acc.f[acc.k].nb, 'id', acc.f[acc.k].id))), 'f', acc.f)), "
-        "acc -> acc.path))"
-    )
+def best_path(edges: str = "edges") -> str:
+    """SQL: the ids of a unit's Viterbi path. edges: array of (e, b, id, score) from place b to e, some edge to each place.
+
+    One fold over the edges by end: `done` holds the score and path of each place before `k`, `cur` the best
+    edge to `k` so far; scores compare first, then the earlier start (`nb` is -b).
+    """
+    there = "concat(acc.done[-acc.cur.nb].path, array(acc.cur.id))"
+    best = f"concat(acc.done, array(named_struct('s', acc.cur.s, 'path', {there})))"
+    same = "named_struct('done', acc.done, 'k', acc.k, 'cur', greatest(acc.cur, named_struct('s', acc.done[x.b].s + x.score, 'nb', -x.b, 'id', x.id)))"
+    next_ = f"named_struct('done', {best}, 'k', x.e, 'cur', named_struct('s', if(x.b = acc.k, acc.cur.s, acc.done[x.b].s) + x.score, 'nb', -x.b, 'id', x.id))"
+    start = "named_struct('done', array(named_struct('s', 0D, 'path', array()::array<int>)), 'k', 1, 'cur', named_struct('s', double('-infinity'), 'nb', 0, 'id', 0))"
+    return f"aggregate(array_sort({edges}), {start}, (acc, x) -> if(x.e = acc.k, {same}, {next_}), acc -> {there})"
 
 
 def encoded_units(units: DataFrame, table: Table) -> DataFrame:
-    """unit, ids of a table of distinct units, partitioned as it was."""
+    """key, unit, ids of a table (key, unit) of distinct units, partitioned by key as it was."""
     spark = units.sparkSession
     pieces = spark.createDataFrame(table.rows, "piece string, id int, score double")  # at most MAX_PIECES rows
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("b"))
-    parts = starts.select("unit", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.char_length("unit") - F.col("b")))).alias("l"))
-    matched = parts.withColumn("piece", F.substring("unit", F.col("b") + 1, F.col("l"))).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") == 1))
-    edge = F.struct("b", "l", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-    lattice = matched.groupBy("unit").agg(F.collect_list(edge).alias("edges"))  # of one unit, at most MAX_UNIT * longest
-    path = lattice.select("unit", F.expr(best_path("edges", "char_length(unit)")).alias("path"))
-    as_bytes = "transform(sequence(1, octet_length(encode(substring(unit, p.b + 1, 1), 'utf-8'))), i -> bytes[int(conv(substring(hex(encode(substring(unit, p.b + 1, 1), 'utf-8')), 2 * i - 1, 2), 16, 10))])"
+    # a number sorts faster than a string when edges are grouped; only the first edge carries the unit
+    own = units.withColumn("uid", F.monotonically_increasing_id())
+    starts = own.select("uid", "key", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("b"))
+    parts = starts.select("uid", "key", "unit", "b", F.explode(F.sequence(F.col("b") + 1, F.least(F.col("b") + table.longest, F.char_length("unit")))).alias("e"))
+    single = F.col("e") == F.col("b") + 1
+    matched = parts.withColumn("piece", F.expr("substring(unit, b + 1, e - b)")).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | single)
+    edge = F.struct("e", "b", F.coalesce("id", -1 - F.col("b")).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+    lattice = matched.groupBy("uid", "key").agg(F.max(F.when(single & (F.col("b") == 0), F.col("unit"))).alias("unit"), F.collect_list(edge).alias("edges"))  # of one unit, at most MAX_UNIT * longest
+    path = lattice.select("key", "unit", F.expr(best_path()).alias("path"))
+    # id -1 - b: the character at b has no piece, so its bytes stand for it
+    as_bytes = "transform(sequence(1, octet_length(encode(substring(unit, -p, 1), 'utf-8'))), i -> bytes[int(conv(substring(hex(encode(substring(unit, -p, 1), 'utf-8')), 2 * i - 1, 2), 16, 10))])"
     bytes_ = "array(" + ",".join(map(str, table.byte_ids)) + ")"
-    whole = f"flatten(transform(path, p -> if(p.id >= 0, array(p.id), {as_bytes.replace('bytes[', bytes_ + '[')})))"
-    return path.select("unit", F.expr(f"if(exists(path, p -> p.id < 0), {whole}, transform(path, p -> p.id))").alias("ids"))
+    whole = f"flatten(transform(path, p -> if(p >= 0, array(p), {as_bytes.replace('bytes[', bytes_ + '[')})))"
+    return path.select("key", "unit", F.expr(f"if(exists(path, p -> p < 0), {whole}, path)").alias("ids"))
 
 
 class Fold:
@@ -172,173 +228,181 @@ class Fold:
 
 
 class Run:
-    """Distinct units of a run of documents, numbered in order of appearance."""
+    """Distinct words and units of a run of documents, numbered as they appear, and the documents as numbers of units."""
 
-    def __init__(self, pattern: re.Pattern):
-        self.pattern, self.number, self.size = pattern, {}, 0
-        #: Numbers and texts of units too long for the lattice, as they appear; structures() takes them off.
-        self.long: list[tuple[int, str]] = []
+    def __init__(self, cutter: Cutter):
+        self.cutter, self.size = cutter, 0
+        self.word_no: dict[str, int] = {}
+        self.unit_no: dict[str, int] = defaultdict(count().__next__)
+        #: Numbers of the units of all words, one after the other, and where each word's begin.
+        self.units, self.starts = array("i"), array("q", [0])
+        self.slices: list[bytes] = []
 
     def add(self, texts: list[str | None]) -> list[np.ndarray]:
-        number, out = self.number, []
-        for t in texts:
-            found = units_of(t, self.pattern)
-            for u in found:
-                if u not in number:
-                    if len(u) > MAX_UNIT:
-                        self.long.append((len(number), u))
-                    number[u] = len(number)
-            out.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
-            self.size += len(t or "")
-        return out
+        """Each text's unit numbers."""
+        words = [self.cutter.words(t) for t in texts]
+        new = sorted(set().union(*words).difference(self.word_no))
+        if new:
+            self.word_no.update(zip(new, count(len(self.word_no))))  # noqa: B905
+            found, counts = self.cutter.cut(new)
+            self.units.extend(map(self.unit_no.__getitem__, found))
+            self.starts.extend((np.cumsum(counts) + self.starts[-1]).tolist())
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        own = np.fromiter(map(self.word_no.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+        flat, ends = gathered(np.frombuffer(self.units, dtype=np.int32), np.frombuffer(self.starts, dtype=np.int64), own)
+        self.size += sum(len(t or "") for t in texts)
+        return np.split(flat, ends[np.cumsum(sizes)[:-1]])
 
     def full(self) -> bool:
-        return self.size >= GROUP_BYTES or len(self.number) >= GROUP_UNITS
-
-
-def runs(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, Run, pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of a partition's documents with their unit numbers, and the run that they belong to."""
-    compiled = re.compile(pattern)
-    run, k = Run(compiled), 0
-    for batch in batches:
-        for rows in slices(batch, "text", SLICE_BYTES):
-            if run.full():
-                run, k = Run(compiled), k + 1
-                give_back()
-            yield rows.column("part")[0].as_py() << 24 | k, run, rows, run.add(rows.column("text").to_pylist())
-
-
-def packed_rows(ids: list, digests: list[bytes], numbers: list[np.ndarray]) -> bytes:
-    lengths = np.fromiter(map(len, numbers), dtype=np.int32, count=len(numbers))
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    flat = np.concatenate(numbers) if numbers else np.empty(0, dtype=np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "digest", "units"])
-    return ipc_bytes(pa.Table.from_batches([batch]))
-
-
-def ipc_bytes(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_table(table)
+        return self.size >= GROUP_BYTES or len(self.word_no) >= GROUP_WORDS
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches starts[i] to starts[i + 1] of flat for each i of own, one after the other, and where each begins (and the end)."""
+    first = starts[own]
+    ends = np.concatenate([[0], np.cumsum(starts[own + 1] - first)])
+    return flat[np.repeat(first - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends
+
+
+def ipc_bytes(**columns: pa.Array) -> bytes:
+    sink, batch = pa.BufferOutputStream(), pa.record_batch(list(columns.values()), list(columns))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, exact (the ids decode to the text) of each document."""
-    table = Table(model)
-    pattern, bytes_of, fold = table.pattern, table.bytes_of, Fold(table)
-    # the partition that is read, which names its runs in both branches below
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.spark_partition_id().alias("part"))
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each run's units, in a row each, but the long ones."""
-
-        def rows(g: int, run: Run) -> Iterator[pa.RecordBatch]:
-            units = list(run.number)
-            for a in range(0, len(units), 50_000):
-                part = [(u, no) for no, u in enumerate(units[a : a + 50_000], a) if len(u) <= MAX_UNIT]
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part], pa.string()), pa.array([g] * len(part), pa.int64()), pa.array([no for _, no in part], pa.int32())], ["unit", "g", "no"])
-
-        last = None
-        for g, run, _, _ in runs(batches, pattern):
-            if last and last[0] != g:
-                yield from rows(*last)
-            last = g, run
-        if last:
-            yield from rows(*last)
-        last = None
-        give_back()
+def ipc_columns(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
 
-    def structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents as unit numbers, a slice in a row; before it, the ids of its long units."""
-        for g, run, part, numbers in runs(batches, pattern):
-            if run.long:
-                ids = pa.table({"no": pa.array([no for no, _ in run.long], pa.int32()), "ids": pa.array([fold.ids(u) for _, u in run.long], pa.list_(pa.int32()))})
-                run.long = []
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.nulls(1, pa.int32()), pa.array([ipc_bytes(ids)], pa.binary())], ["g", "known", "blob"])
-            digests = [hashlib.blake2b((t or "").encode("utf-8"), digest_size=8).digest() for t in part.column("text").to_pylist()]
-            blob = packed_rows(part.column("doc_id").to_pylist(), digests, numbers)
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([len(run.number)], pa.int32()), pa.array([blob], pa.binary())], ["g", "known", "blob"])
-        give_back()
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units' ids of many runs as one compressed row per run, for up to PACK rows at a time."""
+def lists(numbers: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int32)
+    flat = np.concatenate(numbers) if numbers else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
 
-        def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).sort_by([("g", "ascending"), ("no", "ascending")]).combine_chunks()
-            groups = table.column("g").to_numpy()
-            edges = [0, *(np.nonzero(np.diff(groups))[0] + 1).tolist(), len(groups)]
-            blobs = [ipc_bytes(table.slice(a, b - a).select(["no", "ids"])) for a, b in zip(edges, edges[1:])]  # noqa: B905
-            return pa.RecordBatch.from_arrays([pa.array(groups[edges[:-1]]), pa.nulls(len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["g", "known", "blob"])
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= PACK:
-                yield rows(held)
-                held = []
-        if held:
-            yield rows(held)
-        held = []
-        give_back()
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
+
+
+#: What a row of the exchange holds: units of a bucket, documents of a run, the run's units in order of their buckets, ids of its long units.
+UNITS, DOCUMENTS, ORDER, LONG = range(4)
+_SENT = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("g", pa.int64()), ("base", pa.int32()), ("units", pa.string()), ("blob", pa.binary())])
+
+
+def sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+
+
+def run_rows(g: int, run: Run, fold: Fold, buckets: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a run. Its units get new numbers by bucket; those too long for the lattice come last, with their ids."""
+    for at in range(0, len(run.slices), 4):
+        yield sent([(g, DOCUMENTS, g, None, None, blob) for blob in run.slices[at : at + 4]])
+    units = list(run.unit_no)
+    bucket = np.fromiter((crc32(u.encode()) % buckets if len(u) <= MAX_UNIT else buckets for u in units), dtype=np.int64, count=len(units))
+    order = np.argsort(bucket, kind="stable")
+    new = np.empty(len(order), dtype=np.int32)
+    new[order] = np.arange(len(order))
+    yield sent([(g, ORDER, g, len(order), None, ipc_bytes(new=pa.array(new)))])
+    edges = np.nonzero(np.diff(bucket[order], prepend=-1, append=-1))[0].tolist() if len(order) else []
+    rows = []
+    for a, b in zip(edges, edges[1:]):  # noqa: B905
+        own, at = [units[i] for i in order[a:b].tolist()], int(bucket[order[a]])
+        if at < buckets:
+            rows.append((at, UNITS, g, a, " ".join(own), None))  # no unit holds a space
+        else:
+            rows.append((g, LONG, g, a, None, ipc_bytes(ids=lists([np.array(fold.ids(u)) for u in own]))))
+    for a in range(0, len(rows), 256):
+        yield sent(rows[a : a + 256])
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a run: its units' ids, then its documents."""
-        g, parts, flat, offsets = None, [], None, None
+
+def partitions(docs: DataFrame) -> int:
+    """Of the exchanges: the session's number, or more for an input that it does not suit."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 100_000))
+
+
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, n_tokens, ids, exact (the ids decode to the text) of each document."""
+    table = Table(model)
+    cutter, fold, bytes_of = Cutter(table.pairs), Fold(table), table.bytes_of
+    own = settled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    n = partitions(own)
+    buckets = n * BUCKETS
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of the runs that a partition makes. Keys of runs are below zero, those of buckets from zero on."""
+        run, g = Run(cutter), None
         for batch in batches:
-            for own, known, blob in zip(batch.column("g").to_pylist(), batch.column("known").to_pylist(), batch.column("blob"), strict=True):
-                if g != own:
-                    g, parts, flat, offsets = own, [], None, None
+            for rows in slices(batch, "text", SLICE_BYTES):
+                if g is None:
+                    g = -1 - (rows.column("part")[0].as_py() << 24)
+                texts = rows.column("text").to_pylist()
+                digests = [digest((t or "").encode()) for t in texts]
+                run.slices.append(ipc_bytes(doc_id=rows.column("doc_id"), digest=pa.array(digests, pa.binary()), units=lists(run.add(texts))))
+                if run.full():
+                    yield from run_rows(g, run, fold, buckets)
+                    run, g = Run(cutter), g - 1
                     give_back()
-                if known is None:
-                    part = pa.ipc.open_stream(blob.as_py()).read_all().combine_chunks()
-                    ids = part.column("ids").combine_chunks()
-                    parts.append((part.column("no").to_numpy(), ids.value_lengths().to_numpy(), ids.flatten().to_numpy()))
-                    continue
-                if flat is None:
-                    flat, offsets = in_order(parts)
-                    parts = []
-                if known > len(offsets) - 1:
-                    raise RuntimeError("a run lacks units")
-                yield document_rows(blob.as_py(), flat, offsets)
-
-    def in_order(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of units 0, 1, 2, ... one after the other, and where each unit's begin."""
-        if not parts:
-            return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-        no, lengths, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.argsort(no, kind="stable")
-        if not np.array_equal(no[order], np.arange(len(no))):
+        if run.slices:
+            yield from run_rows(g, run, fold, buckets)
+        run = None
+        give_back()
+
+    def placed(key: tuple, found: pa.Table, asked: pa.Table) -> pa.Table:
+        """The ids of a bucket's units, for each run that asked, in its order."""
+        place = dict(zip(found.column("unit").to_pylist(), count()))  # noqa: B905
+        ids = found.column("ids").combine_chunks()
+        flat, starts = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
+        blobs = []
+        for units in asked.column("units"):
+            units = units.as_py().split(" ")
+            got, ends = gathered(flat, starts, np.fromiter(map(place.__getitem__, units), dtype=np.int64, count=len(units)))
+            blobs.append(ipc_bytes(ids=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got))))
+        return pa.table({"g": asked.column("g"), "base": asked.column("base"), "blob": pa.array(blobs, pa.binary())})
+
+    byte_sizes = np.array([len(b) for b in bytes_of], dtype=np.int64)
+    byte_starts, byte_flat = np.concatenate([[0], np.cumsum(byte_sizes)]), np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+
+    def assembled(key: tuple, own: pa.Table, ids_of: pa.Table) -> pa.Table:
+        """A run's documents as ids, read back as bytes and compared with the texts' digests."""
+        parts, docs, new = list(zip(ids_of.column("base").to_pylist(), ids_of.column("blob").to_pylist(), strict=True)), [], None
+        for kind, base, blob in zip(own.column("kind").to_pylist(), own.column("base").to_pylist(), own.column("blob").to_pylist(), strict=True):
+            if kind == DOCUMENTS:
+                docs.append(blob)
+            elif kind == LONG:
+                parts.append((base, blob))
+            else:
+                new = ipc_columns(blob).column("new").to_numpy()
+        known = [(base, ipc_columns(blob).column("ids")) for base, blob in sorted(parts)]
+        if new is None or [b for b, _ in known] != np.cumsum([0, *(len(x) for _, x in known)])[:-1].tolist() or sum(len(x) for _, x in known) != len(new):
             raise RuntimeError("a run's units are not whole")
-        firsts = (np.cumsum(lengths) - lengths)[order]
-        offsets = np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64)
-        return ids[np.arange(offsets[-1]) + np.repeat(firsts - offsets[:-1], lengths[order])], offsets
-
-    def document_rows(blob: bytes, flat: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        rows = pa.ipc.open_stream(blob).read_next_batch()
-        units, ends = rows.column("units").flatten().to_numpy(), np.concatenate([[0], np.cumsum(rows.column("units").value_lengths().to_numpy())])
-        size = offsets[units + 1] - offsets[units]
-        stop = np.cumsum(size)
-        ids = flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(offsets[units] - (stop - size), size)]
-        doc_ends = np.concatenate([[0], stop])[ends].astype(np.int32)
-        every = ids.tolist()
-        exact = [hashlib.blake2b(decode_ids(every[a:b], bytes_of).encode("utf-8"), digest_size=8).digest() == d for a, b, d in zip(doc_ends[:-1].tolist(), doc_ends[1:].tolist(), rows.column("digest").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(np.diff(doc_ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(doc_ends), pa.array(ids.astype(np.int32))), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"]
-        )
-
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = mapped(own, names, "unit string, g long, no int").repartition(n, "unit")
-    # both branches read all columns of `named`, so that it is computed and dealt out once
-    distinct = named.groupBy("unit").agg(F.min("g").alias("g"), F.min("no").alias("no")).where("g >= 0 AND no >= 0").select("unit")
-    found = encoded_units(distinct, table)
-    placed = mapped(named.join(found.hint("merge"), "unit").select("g", "no", "ids"), gathered, "g long, known int, blob binary")
-    shaped = mapped(own, structures, "g long, known int, blob binary")
-    together = placed.unionByName(shaped).repartition(n, "g").sortWithinPartitions("g", F.col("known").asc_nulls_first())
-    return mapped(together, assemble, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+        flat = np.concatenate([np.empty(0, dtype=np.int32), *(x.flatten().to_numpy() for _, x in known)])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, dtype=np.int64), *(x.value_lengths().to_numpy() for _, x in known)]))]).astype(np.int64)
+        known, out = [], []
+        for blob in docs:
+            rows = ipc_columns(blob)
+            units = rows.column("units")
+            ids, ends = gathered(flat, starts, new[units.flatten().to_numpy()])
+            ends = ends[np.concatenate([[0], np.cumsum(units.value_lengths().to_numpy())]).astype(np.int64)]
+            data, at = gathered(byte_flat, byte_starts, ids)
+            data, at = data.tobytes(), at[ends].tolist()
+            # encoding put a space before the text
+            exact = [digest(data[a + (data[a : a + 1] == b" ") : b]) == d for a, b, d in zip(at, at[1:], rows.column("digest").to_pylist())]  # noqa: B905
+            out.append(pa.record_batch([rows.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"]))
+        return pa.Table.from_batches(out)
+
+    dealt = mapped(own, numbered, "key long, kind int, g long, base int, units string, blob binary").repartition(n, "key")
+
+    def of(kinds: str) -> DataFrame:
+        """Rows of some kinds. A condition that may not move, over all columns, keeps the exchange whole, so that all uses share one."""
+        return dealt.where(F.expr(f"if(spark_partition_id() >= 0, kind {kinds}, hash(key, kind, g, base, units, blob) = 0)"))
+
+    asked = of(f"= {UNITS}").select("key", "g", "base", "units")
+    units = asked.select("key", F.explode(F.split("units", " ")).alias("unit")).distinct()
+    found = encoded_units(units, table).select(F.col("key").alias("bucket"), "unit", "ids")
+    back = found.groupBy("bucket").cogroup(asked.groupBy("key")).applyInArrow(placed, "g long, base int, blob binary")
+    return of(f"<> {UNITS}").groupBy("key").cogroup(back.repartition(n, "g").groupBy("g")).applyInArrow(assembled, "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
