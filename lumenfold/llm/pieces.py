@@ -30,11 +30,12 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ PART_BYTES, BUCKETS = 256 << 20, 8
 UNKNOWN_LESS = 10.0
 MAX_PIECES = 1_000_000
 #: Text bytes of a row of packed documents.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Table:
@@ -99,14 +100,22 @@ class Cutter:
         for p in self.pairs:
             self.together[self.class_of[ord(p[0])], self.class_of[ord(p[1])]] = True
 
-    def words(self, text: str | None) -> list[str]:
-        """The words, each without its first space; those that begin with a line feed had none."""
-        if not text:
-            return []
-        if text[0] != " " and "  " not in text:
-            return (text.replace("\n", " \n") if self.feeds else text).split(" ")
-        found = re.findall(" +[^ \n]*|\n[^ \n]*" if self.feeds else " +[^ ]*", " " + text)
-        return [w[1:] if w[0] == " " else w for w in found]
+    def words(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of all texts, one after the other, and how many each text has.
+
+        A word is without its first space; one that begins with a line feed had none.
+        """
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.or_(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")), pc.equal(texts, ""))).to_numpy(zero_copy_only=False)
+        found = pc.split_pattern(pc.replace_substring(texts, "\n", " \n") if self.feeds else texts, " ")
+        counts, at, out = found.value_lengths().to_numpy().astype(np.int64), 0, []
+        if plain.all():
+            return found.flatten(), counts
+        for i in np.nonzero(~plain)[0].tolist():
+            own = re.findall(" +[^ \n]*|\n[^ \n]*" if self.feeds else " +[^ ]*", " " + texts[i].as_py()) if len(texts[i].as_buffer()) else []
+            out += [found.slice(at, i - at).flatten(), pa.array([w[1:] if w[0] == " " else w for w in own], pa.string())]
+            counts[i], at = len(own), i + 1
+        return pa.concat_arrays([*out, found.slice(at).flatten()]), counts
 
     def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The units of all words, one after the other, and how many each word has."""
@@ -128,8 +137,8 @@ class Cutter:
 
 
 def units_of(text: str | None, cutter: Cutter) -> list[str]:
-    words = cutter.words(text)
-    return cutter.cut(words)[0] if words else []
+    words, _ = cutter.words(pa.array([text], pa.string()))
+    return cutter.cut(words.to_pylist())[0] if len(words) else []
 
 
 def decode_ids(ids: list[int], bytes_of: list[bytes]) -> str:
@@ -144,15 +153,13 @@ def decode_ids(ids: list[int], bytes_of: list[bytes]) -> str:
 def best_path(edges: str = "edges") -> str:
     """SQL: the ids of a unit's Viterbi path. edges: array of (e, b, id, score) from place b to e, some edge to each place.
 
-    One fold over the edges by end: `done` holds the score and path of each place before `k`, `cur` the best
-    edge to `k` so far; scores compare first, then the earlier start (`nb` is -b).
+    One fold over the edges by end, then start: `s` and `p` hold the score and path of each place before `k`,
+    `cs`, `cb` and `ci` the best edge to `k` so far. A later start replaces an earlier one only if its score is larger.
     """
-    there = "concat(acc.done[-acc.cur.nb].path, array(acc.cur.id))"
-    best = f"concat(acc.done, array(named_struct('s', acc.cur.s, 'path', {there})))"
-    same = "named_struct('done', acc.done, 'k', acc.k, 'cur', greatest(acc.cur, named_struct('s', acc.done[x.b].s + x.score, 'nb', -x.b, 'id', x.id)))"
-    next_ = f"named_struct('done', {best}, 'k', x.e, 'cur', named_struct('s', if(x.b = acc.k, acc.cur.s, acc.done[x.b].s) + x.score, 'nb', -x.b, 'id', x.id))"
-    start = "named_struct('done', array(named_struct('s', 0D, 'path', array()::array<int>)), 'k', 1, 'cur', named_struct('s', double('-infinity'), 'nb', 0, 'id', 0))"
-    return f"aggregate(array_sort({edges}), {start}, (acc, x) -> if(x.e = acc.k, {same}, {next_}), acc -> {there})"
+    done = "named_struct('s', array_append(acc.s, acc.cs), 'p', array_append(acc.p, array_append(acc.p[acc.cb], acc.ci)), 'k', x.e, 'cs', if(x.b = acc.k, acc.cs, acc.s[x.b]) + x.score, 'cb', x.b, 'ci', x.id)"
+    better = "if(acc.s[x.b] + x.score > acc.cs, named_struct('s', acc.s, 'p', acc.p, 'k', acc.k, 'cs', acc.s[x.b] + x.score, 'cb', x.b, 'ci', x.id), acc)"
+    start = "named_struct('s', array(0D), 'p', array(array()::array<int>), 'k', 1, 'cs', double('-infinity'), 'cb', 0, 'ci', 0)"
+    return f"aggregate(sort_array({edges}), {start}, (acc, x) -> if(x.e = acc.k, {better}, {done}), acc -> array_append(acc.p[acc.cb], acc.ci))"
 
 
 def encoded_units(units: DataFrame, table: Table) -> DataFrame:
@@ -238,20 +245,21 @@ class Run:
         self.units, self.starts = array("i"), array("q", [0])
         self.slices: list[bytes] = []
 
-    def add(self, texts: list[str | None]) -> list[np.ndarray]:
+    def add(self, texts: pa.StringArray) -> pa.ListArray:
         """Each text's unit numbers."""
-        words = [self.cutter.words(t) for t in texts]
-        new = sorted(set().union(*words).difference(self.word_no))
+        words, sizes = self.cutter.words(texts)
+        words = words.dictionary_encode()
+        met = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
+        new = [w for w in met if w not in self.word_no]
         if new:
             self.word_no.update(zip(new, count(len(self.word_no))))  # noqa: B905
             found, counts = self.cutter.cut(new)
             self.units.extend(map(self.unit_no.__getitem__, found))
             self.starts.extend((np.cumsum(counts) + self.starts[-1]).tolist())
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        own = np.fromiter(map(self.word_no.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
-        flat, ends = gathered(np.frombuffer(self.units, dtype=np.int32), np.frombuffer(self.starts, dtype=np.int64), own)
-        self.size += sum(len(t or "") for t in texts)
-        return np.split(flat, ends[np.cumsum(sizes)[:-1]])
+        number = np.fromiter(map(self.word_no.__getitem__, met), dtype=np.int64, count=len(met))
+        flat, ends = gathered(np.frombuffer(self.units, dtype=np.int32), np.frombuffer(self.starts, dtype=np.int64), number[words.indices.to_numpy()])
+        self.size += int(pc.sum(pc.utf8_length(texts)).as_py() or 0)
+        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)), pa.array(flat))
 
     def full(self) -> bool:
         return self.size >= GROUP_BYTES or len(self.word_no) >= GROUP_WORDS
@@ -337,9 +345,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for rows in slices(batch, "text", SLICE_BYTES):
                 if g is None:
                     g = -1 - (rows.column("part")[0].as_py() << 24)
-                texts = rows.column("text").to_pylist()
-                digests = [digest((t or "").encode()) for t in texts]
-                run.slices.append(ipc_bytes(doc_id=rows.column("doc_id"), digest=pa.array(digests, pa.binary()), units=lists(run.add(texts))))
+                texts = rows.column("text")
+                digests = [digest(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+                run.slices.append(ipc_bytes(doc_id=rows.column("doc_id"), digest=pa.array(digests, pa.binary()), units=run.add(texts)))
                 if run.full():
                     yield from run_rows(g, run, fold, buckets)
                     run, g = Run(cutter), g - 1
@@ -351,7 +359,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def placed(key: tuple, found: pa.Table, asked: pa.Table) -> pa.Table:
         """The ids of a bucket's units, for each run that asked, in its order."""
-        place = dict(zip(found.column("unit").to_pylist(), count()))  # noqa: B905
+        place = dict(zip(found.column("unit").to_numpy().tolist(), count()))  # noqa: B905
         ids = found.column("ids").combine_chunks()
         flat, starts = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int64)
         blobs = []
