@@ -46,7 +46,7 @@ SPACE = "▁"
 #: Characters of the longest unit that goes through the lattice.
 MAX_UNIT = 400
 #: Characters of a run, and its distinct words, beyond which the next run begins.
-GROUP_BYTES, GROUP_WORDS = 32 << 20, 500_000
+GROUP_BYTES, GROUP_WORDS = 16 << 20, 250_000
 #: Input bytes of a partition of the exchanges, above the session's number of them, and buckets of units a partition.
 PART_BYTES, BUCKETS = 256 << 20, 8
 #: What the library takes off the least score for a character without a piece (a fixed value).
@@ -398,6 +398,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             # encoding put a space before the text
             exact = [digest(data[a + (data[a : a + 1] == b" ") : b]) == d for a, b, d in zip(at, at[1:], rows.column("digest").to_pylist())]  # noqa: B905
             out.append(pa.record_batch([rows.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"]))
+        known = flat = starts = docs = parts = data = None
+        give_back()
         return pa.Table.from_batches(out)
 
     dealt = mapped(own, numbered, "key long, kind int, g long, base int, units string, blob binary").repartition(n, "key")
