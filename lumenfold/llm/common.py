@@ -40,6 +40,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with marks until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names for select, whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df itself if files are only read and projected, so that a partition computed again has the same rows in order; else stored."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

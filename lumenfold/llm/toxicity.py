@@ -1,26 +1,29 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-A sentence's units are its words: lower case, letters and digits only (so "i.d.i.o.t" is "idiot"), runs of
+A sentence is a bag of units, its words: lower case, letters and digits only (so "i.d.i.o.t" is "idiot"), runs of
 four or more one-letter tokens joined into one word, with marks for the word's start and end. The kernel of
-two units counts their common subsequences of ORDER symbols, each gap symbol at a price of DECAY, over the landmark's own; it is cubed
-unless the landmark is a whole word and the unit has it with at most EXTRA symbols more. So an
-insult with inserted or missing characters is still near its landmark; it is zero unless a common
-subsequence covers GATE of the landmark. Landmarks are words and word starts, chosen greedily so that the
-toxic training texts are covered COVER times while clean ones are not. A sentence's features are its
-greatest kernel value per landmark, mapped by the inverse square root of the landmarks' own kernel matrix;
-a linear SVM separates sentences. Only documents are labelled, so training repeats: the best sentence of each
-toxic document (and its nearest words with a character inserted) against all sentences of clean ones. A document
-has the probability of its most toxic sentence, calibrated on the training documents.
+two units counts their common subsequences of ORDER symbols, each symbol and each gap symbol at a price of DECAY, over
+the geometric mean of the units' own counts. So an insult with inserted, missing or replaced characters is
+still near it. This one kernel gives the landmarks' Gram matrix and all features: a unit's features are its
+kernel values with the landmarks, mapped by the inverse square root of the Gram matrix (Nyström), and a linear
+SVM separates units. Landmarks are taken from the sentences of labelled documents: words that mark toxic ones
+(most frequent first, rare in clean ones) and the clean words nearest to these. Only documents are labelled, so training repeats: the best unit of each toxic document, and variants of it with one or two
+characters inserted, one missing and one replaced, against all units of clean ones. A document's value is that of
+its most toxic unit, FLOOR at least; its score is a sigmoid of that which is 0.5 on the SVM's boundary, with the
+slope of least log loss on the training documents.
+
+Only candidates are computed, in training and scoring alike: units that hold GATE of the symbols of some toxic landmark
+in order, with other symbols between, where the common ones are OWN of the unit's. Every other unit has the value FLOOR.
 
 Training takes at most TRAIN_TOXIC and TRAIN_CLEAN labelled documents (those with the least id hashes, of at
 most TRAIN_CHARS characters). Scoring reads every whole text; words above WINDOW symbols are read in
 overlapping windows. Rows: null and empty texts get the score of a text without units. Several labels of one
-doc_id count as toxic if any is. Without both labels in training every score is 0. Extra columns are kept.
+doc_id count as toxic if any is. Repeated rows get equal scores. Without both labels in training every score is 0. An empty table
+gives an empty result. Extra columns are kept.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,13 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, mapped, slices
-
-ORDER, DECAY, GATE = 3, 0.75, 0.75
-LANDMARKS, COVER, PRECISION, NEAR = 40, 6, 0.95, 0.9
+from .common import crc_mod, documents, mapped, quoted, slices, unused
+
+ORDER, DECAY = 4, 0.7
+LANDMARKS, CLEAN_LANDMARKS, PRECISION, GATE, OWN = 72, 16, 0.95, 0.75, 0.6
+#: A unit of a toxic training document is a witness only from this kernel value with a landmark on; other documents' labels are taken for noise.
+WITNESS = 0.5
+#: Values below it count as it.
+FLOOR = -0.75
+#: The kernel value from which a clean word crowds a toxic one.
+CROWD = 0.42
+#: Variants of each kind of a toxic word that training makes, and the weight of clean units.
+VARIANTS, VARIANT_WEIGHT, CLEAN_WEIGHT = 10, 10.0, 4.0
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
-WINDOW, CACHE, EXTRA = 32, 300_000, 2
-_NOT_LETTERS, _ENDS = re.compile(r"[\W_]+"), (".", "!", "?", ";", ":")
+WINDOW, CACHE = 32, 300_000
+_NOT_LETTERS = re.compile(r"[\W_]+")
 
 
 def coded(units: list[str], width: int) -> np.ndarray:
@@ -46,17 +57,19 @@ def coded(units: list[str], width: int) -> np.ndarray:
 
 def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The gap-weighted subsequence kernel of each pair of rows; codes are padded with zeros."""
-    match = ((s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)).astype(np.float64)
+    n, m, k = len(s), s.shape[1], t.shape[1]
 
     def before(n: int) -> np.ndarray:
         gap = np.arange(n)[:, None] - np.arange(n)[None, :] - 1.0
-        return np.where(gap >= 0, decay**gap, 0.0)
+        return np.where(gap >= 0, decay**gap, 0.0).astype(np.float32)
 
-    left, right = before(s.shape[1]), before(t.shape[1])
-    d = decay**2 * match
+    # places of s first, so that both sums over gaps are products of two plain matrices
+    s = s.T[:, :, None]
+    price = np.float32(decay**2) * ((s == t[None, :, :]) & (s > 0))
+    left, right, d = before(m), np.ascontiguousarray(before(k).T), price
     for _ in range(order - 1):
-        d = decay**2 * match * (np.swapaxes(np.swapaxes(d, 1, 2) @ left.T, 1, 2) @ right.T)
-    return d.sum(axis=(1, 2))
+        d = price * ((left @ d.reshape(m, n * k)).reshape(m * n, k) @ right).reshape(m, n, k)
+    return d.sum(axis=(0, 2), dtype=np.float64)
 
 
 def longest_common(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -72,62 +85,83 @@ def longest_common(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~v & valid)
 
 
+def units_of(words: list[str]) -> tuple[dict[int, list[str]], dict[int, list[int]]]:
+    """Words as units with marks, by widest length, and the place of each unit's word; long words are cut into windows."""
+    units: dict[int, list[str]] = {n: [] for n in (10, 14, 20, WINDOW)}
+    owners: dict[int, list[int]] = {n: [] for n in units}
+    for k, w in enumerate(words):
+        u = f"^{w}$"
+        n = next((n for n in units if len(u) <= n), 0)
+        for cut in [u] if n else [u[a : a + WINDOW] for a in range(0, len(u) - WINDOW // 2, WINDOW // 2)]:
+            units[n or WINDOW].append(cut)
+            owners[n or WINDOW].append(k)
+    return units, owners
+
+
 class Landmarks:
-    """Kernel values of words against landmark strings."""
+    """Kernel values of units with landmark units; the first `gates` landmarks name candidates."""
 
-    def __init__(self, strings: list[str]):
-        self.strings = strings
-        self.width = max(map(len, strings))
-        self.codes = coded(strings, self.width)
+    def __init__(self, strings: list[str], gates: int):
+        self.strings, self.gates = strings, gates
+        self.codes = coded(strings, max(map(len, strings)))
+        self.norm = self.own(self.codes)
         self.lengths = np.array([len(x) for x in strings])
-        self.whole = np.array([x.endswith("$") for x in strings])
         self.need = np.ceil(GATE * self.lengths).astype(int)
-        self.norm = kernel(self.codes, self.codes)
         self.masks = self.mask(self.codes)
         self.spare = np.bitwise_count(self.masks).astype(int) - (self.lengths - self.need)
 
+    @staticmethod
+    def own(codes: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(np.concatenate([np.empty(0), *(kernel(codes[a : a + 4000], codes[a : a + 4000]) for a in range(0, len(codes), 4000))]), 1e-30))
+
     @staticmethod
     def mask(codes: np.ndarray) -> np.ndarray:
         bits = np.where(codes > 0, np.uint64(1) << ((codes.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(64)), np.uint64(0))
         return np.bitwise_or.reduce(bits, axis=1)
 
+    def candidates(self, part: np.ndarray) -> np.ndarray:
+        """Places of the units that hold GATE of a landmark in order, which is OWN of themselves."""
+        masks, out = self.mask(part), np.zeros(len(part), dtype=bool)
+        own = np.ceil(OWN * (part > 0).sum(axis=1)).astype(int)
+        for j in range(self.gates):
+            # distinct symbols of the landmark that the unit must have at least, whatever their order
+            some = np.nonzero((np.bitwise_count(masks & self.masks[j]) >= max(self.spare[j], 1)) & (own <= self.lengths[j]) & ~out)[0]
+            if len(some):
+                common = longest_common(part[some], np.repeat(self.codes[j : j + 1, : self.lengths[j]], len(some), axis=0))
+                out[some[common >= np.maximum(self.need[j], own[some])]] = True
+        return np.nonzero(out)[0]
+
+    def features(self, part: np.ndarray) -> np.ndarray:
+        """The kernel of each unit with each landmark."""
+        norm, masks, out = self.own(part), self.mask(part), np.zeros((len(part), len(self.strings)))
+        for j, n in enumerate(self.lengths.tolist()):
+            # without ORDER common symbols in order there is no common subsequence
+            some = np.nonzero(np.bitwise_count(masks & self.masks[j]) > 2)[0]
+            some = some[longest_common(part[some], np.repeat(self.codes[j : j + 1, :n], len(some), axis=0)) >= ORDER]
+            for at in (some[a : a + 1000] for a in range(0, len(some), 1000)):
+                out[at, j] = kernel(part[at], np.repeat(self.codes[j : j + 1, :n], len(at), axis=0)) / (norm[at] * self.norm[j])
+        return out
+
     def gram(self) -> np.ndarray:
-        n = len(self.strings)
-        i, j = np.divmod(np.arange(n * n), n)
-        return (kernel(self.codes[i], self.codes[j]) ** 2 / (self.norm[i] * self.norm[j])).reshape(n, n)
-
-    def values(self, words: list[str]) -> dict[int, np.ndarray]:
-        """Kernel values (1 for the landmark itself) of those of the words, by place, that have any."""
-        pieces: dict[int, list[str]] = {n: [] for n in (10, 14, 20, WINDOW)}
-        owners: dict[int, list[int]] = {n: [] for n in pieces}
-        for k, w in enumerate(words):
-            u = f"^{w}$"
-            n = next((n for n in pieces if len(u) <= n), 0)
-            for cut in [u] if n else [u[a : a + WINDOW] for a in range(0, len(u) - WINDOW // 2, WINDOW // 2)]:
-                pieces[n or WINDOW].append(cut)
-                owners[n or WINDOW].append(k)
-        out: dict[int, np.ndarray] = {}
-        for n, units in pieces.items():
-            for at in range(0, len(units), 50_000):
-                part = coded(units[at : at + 50_000], n)
-                masks, places, marks = self.mask(part), [], []
-                for j, (mask, spare) in enumerate(zip(self.masks, self.spare.tolist(), strict=True)):
-                    # distinct symbols of the landmark that the word must have at least, whatever their order
-                    found = np.nonzero(np.bitwise_count(masks & mask) >= max(spare, 1))[0]
-                    places.append(found)
-                    marks.append(np.full(len(found), j))
-                w, j = np.concatenate(places), np.concatenate(marks)
-                common = longest_common(part[w], self.codes[j])
-                enough = common >= self.need[j]
-                w, j = w[enough], j[enough]
-                # a whole word of the landmark's symbols with one or two more counts in full; other likeness by its cube
-                near = (common[enough] == self.lengths[j]) & self.whole[j] & ((part[w] > 0).sum(axis=1) <= self.lengths[j] + EXTRA)
-                power = np.where(near, 1, 3)
-                for a in range(0, len(w), 4000):
-                    got = (kernel(part[w[a : a + 4000]], self.codes[j[a : a + 4000]]) / self.norm[j[a : a + 4000]]) ** power[a : a + 4000]
-                    for x, y, v in zip(w[a : a + 4000].tolist(), j[a : a + 4000].tolist(), got.tolist(), strict=True):
-                        row = out.setdefault(owners[n][at + x], np.zeros(len(self.strings)))
-                        row[y] = max(row[y], v)
+        return self.features(self.codes)
+
+    def of_words(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words that have candidates, with the features of each candidate."""
+        found, owners = units_of(words)
+        for n, units in found.items():
+            for a in range(0, len(units), 50_000):
+                part = coded(units[a : a + 50_000], n)
+                some = self.candidates(part)
+                if len(some):
+                    yield np.array(owners[n][a : a + 50_000])[some], self.features(part[some])
+
+    def table(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The features of each word that has a candidate: of that nearest to a gate."""
+        out: dict[str, np.ndarray] = {}
+        for places, rows in self.of_words(words):
+            for k, row in zip(places.tolist(), rows, strict=True):
+                if words[k] not in out or row[: self.gates].max() > out[words[k]][: self.gates].max():
+                    out[words[k]] = row
         return out
 
 
@@ -148,86 +182,33 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 class Reader:
-    """Sentences of texts as features; words that were met before are not computed again."""
-
-    def __init__(self, landmarks: Landmarks):
-        self.landmarks = landmarks
-        self.place: dict[str, int] = {}
-        self.rows: list[np.ndarray] = [np.zeros(len(landmarks.strings))]
-
-    def learn(self, tokens: set[str]) -> None:
-        if len(self.place) > CACHE:
-            self.place, self.rows = {}, self.rows[:1]
-        new = sorted(tokens.difference(self.place))
+    """The values of texts; words that were met before are not computed again."""
+
+    def __init__(self, landmarks: Landmarks, beta: np.ndarray, bias: float):
+        self.landmarks, self.beta, self.bias = landmarks, beta, bias
+        self.known: dict[str, float] = {}
+
+    def values(self, texts: list[str | None]) -> list[float]:
+        """Of each text, the value of its most toxic unit."""
+        tokens = [set(tokens_of(t)) for t in texts]
+        if len(self.known) > CACHE:
+            self.known = {}
+        new = sorted(set().union(*tokens).difference(self.known))
         words = sorted({words_of(t) for t in new})
-        at = {}
-        for k, row in self.landmarks.values(words).items():
-            at[words[k]] = len(self.rows)
-            self.rows.append(row)
-        self.place.update((t, at.get(words_of(t), 0)) for t in new)
-
-    def sentences(self, texts: list[str | None]) -> list[list[np.ndarray]]:
-        """Of each text, the features of its sentences that have any."""
-        tokens = [tokens_of(t) for t in texts]
-        self.learn(set().union(*tokens) if tokens else set())
-        out = []
-        for own in tokens:
-            hits = np.fromiter(map(self.place.__getitem__, own), dtype=np.int64, count=len(own))
-            where, found = np.nonzero(hits)[0].tolist(), []
-            last = -1
-            for i in where:
-                row = self.rows[hits[i]]
-                if last >= 0 and not any(t.endswith(_ENDS) for t in own[last:i]):
-                    found[-1] = np.maximum(found[-1], row)
-                else:
-                    found.append(row)
-                last = i
-            out.append(found)
-        return out
+        value = np.full(len(words), FLOOR)
+        for places, rows in self.landmarks.of_words(words):
+            np.maximum.at(value, places, rows @ self.beta + self.bias)
+        found = dict(zip(words, value.tolist(), strict=True))
+        self.known.update((t, found[words_of(t)]) for t in new)
+        return [max(map(self.known.__getitem__, own), default=FLOOR) for own in tokens]
 
 
-def choose(toxic: list[str], clean: list[str], most: int = LANDMARKS, cover: int = COVER, precision: float = PRECISION) -> list[str]:
-    """Words and word starts that mark toxic texts: each adds most to a cover of them, a little more for each symbol."""
-
-    def names(text: str) -> set[str]:
-        out = set()
-        for w in {words_of(t) for t in tokens_of(text)}:
-            if 3 <= len(w) <= 24:
-                out.add(f"^{w}$")
-                out.update(f"^{w[:n]}" for n in range(4, min(len(w), 9)))
-        return out
-
-    of: dict[str, list[int]] = {}
-    for i, t in enumerate(toxic):
-        for g in names(t):
-            of.setdefault(g, []).append(i)
-    least = max(3, len(toxic) // 60)
-    of = {g: v for g, v in of.items() if len(v) >= least}
-    against = Counter(g for t in clean for g in names(t) if g in of)
-    weight = len(clean) / max(1, len(toxic))
-    sets = {g: np.array(v) for g, v in of.items() if len(v) * weight >= precision * (len(v) * weight + against[g])}
-    left, met, out = np.full(len(toxic), cover), {}, []
-
-    def gain(name: str) -> float:
-        v = sets[name]
-        new = int(((left[v] > 0) & ~met[name[:5]][v]).sum()) if name[:5] in met else int((left[v] > 0).sum())
-        return new * (1 + 0.03 * len(name)) if new >= least else 0.0
-
-    heap = [(-gain(g), -len(g), g) for g in sets]
-    heapq.heapify(heap)  # gains only fall, so the first one that is up to date is the largest
-    while heap and len(out) < most:
-        old, size, name = heapq.heappop(heap)
-        now = gain(name)
-        if not now:
-            continue
-        if now != -old:
-            heapq.heappush(heap, (-now, size, name))
-            continue
-        of_start = met.setdefault(name[:5], np.zeros(len(toxic), dtype=bool))
-        left[sets[name][~of_start[sets[name]]]] -= 1  # words of one start count once for a text
-        of_start[sets[name]] = True
-        out.append(name)
-    return out
+def choose(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS, precision: float = PRECISION) -> list[str]:
+    """The words of most toxic texts that are rare in clean ones. Both: the words of each text."""
+    of, against = Counter(w for own in toxic for w in own if 3 <= len(w) <= WINDOW - 2), Counter(w for own in clean for w in own)
+    weight, least = len(clean) / max(1, len(toxic)), max(3, len(toxic) // 100)
+    found = [w for w, n in of.items() if n >= least and n * weight >= precision * (n * weight + against[w])]
+    return sorted(found, key=lambda w: (-of[w], w))[:most]
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -244,78 +225,79 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, ro
     return w
 
 
-def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b of sigmoid(a f + b) with the least log loss, slightly smoothed; a is positive."""
-    n1, n0 = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    z, w = np.column_stack([f, np.ones(len(f))]), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - target))
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return max(float(w[0]), 1e-3), float(w[1])
+def slope(f: np.ndarray, y: np.ndarray) -> float:
+    """a of sigmoid(a f) with the least log loss; between 1 and 20."""
+    tries = np.linspace(1, 20, 191)
+    loss = [np.logaddexp(0, -np.where(y > 0, a * f, -a * f)).sum() for a in tries]
+    return float(tries[int(np.argmin(loss))])
 
 
 class Model:
-    def __init__(self, strings: list[str], beta: np.ndarray, bias: float, a: float, b: float):
-        self.strings, self.beta, self.bias, self.a, self.b = strings, beta, bias, a, b
+    def __init__(self, strings: list[str], gates: int, beta: np.ndarray, bias: float, a: float = 1.0):
+        self.strings, self.gates, self.beta, self.bias, self.a = strings, gates, beta, bias, a
 
     def reader(self) -> Reader:
-        return Reader(Landmarks(self.strings))
+        return Reader(Landmarks(self.strings, self.gates), self.beta, self.bias)
 
     def score(self, reader: Reader, texts: list[str | None]) -> list[float]:
-        return [float(1 / (1 + np.exp(-np.clip(self.a * max([self.bias, *(float(x @ self.beta) + self.bias for x in s)]) + self.b, -30, 30)))) for s in reader.sentences(texts)]
+        return (1 / (1 + np.exp(-self.a * np.array(reader.values(texts))))).tolist()
 
 
-def broken(word: str, rng: np.random.Generator) -> str:
-    """The word with a character put in."""
-    k = int(rng.integers(1, len(word))) if len(word) > 1 else 0
-    return word[:k] + "xq7z"[int(rng.integers(0, 4))] + word[k:] if k else word
+def variants(word: str, rng: np.random.Generator, n: int = VARIANTS) -> list[str]:
+    """The word with a character put in, two put in, one left out, and one replaced, n times each."""
+    signs, out = "abcdefghijklmnopqrstuvwxyz0123456789", []
+
+    def put(w: str) -> str:
+        k = int(rng.integers(1, len(w)))
+        return w[:k] + signs[int(rng.integers(len(signs)))] + w[k:]
+
+    for _ in range(n if len(word) > 3 else 0):
+        k = int(rng.integers(1, len(word)))
+        out += [put(word), put(put(word)), word[:k] + word[k + 1 :], word[:k] + signs[int(rng.integers(len(signs)))] + word[k + 1 :]]
+    return out
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     # near copies of a text, which share its longest line, would make marks of their common words
     once = {(max((t or "").split("\n"), key=len), bool(y)): t for t, y in reversed(list(zip(texts, toxic, strict=True)))}
-    pos, neg = [t for (_, y), t in once.items() if y], [t for (_, y), t in once.items() if not y]
-    strings = choose(pos, neg) if pos and neg else []
-    if not strings:
+    pos, neg = ([{words_of(w) for w in tokens_of(t)} - {""} for (_, y), t in once.items() if bool(y) == want] for want in (True, False))
+    marks = choose(pos, neg) if pos and neg else []
+    if not marks:
         return None
-    reader = Reader(Landmarks(strings))
-    values, vectors = np.linalg.eigh(reader.landmarks.gram())
+    gates = len(marks)
+    met = Counter(w for own in neg for w in own)
+    near = Landmarks([f"^{w}$" for w in marks], gates).table(sorted(met))
+    hard = sorted((w for w in near if len(w) <= WINDOW - 2), key=lambda w: (-near[w].max() * met[w], w))[:CLEAN_LANDMARKS]
+    landmarks = Landmarks([f"^{w}$" for w in [*marks, *hard]], gates)
+    values, vectors = np.linalg.eigh(landmarks.gram())
     keep = values > 1e-6 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
-    bags = reader.sentences(pos)
+    feature = landmarks.table(sorted(set().union(*pos)))
+    bags = [own for own in ([w for w in sorted(b) if w in feature and feature[w][:gates].max() >= WITNESS] for b in pos) if own]
+    if not bags:
+        return None
     rng = np.random.default_rng(seed)
-    zero = np.zeros(len(strings))
-    # of each toxic text the words near a landmark, alone, as any of them makes a text toxic; then with a character put in
-    near = {w for t in pos for w in set(tokens_of(t)) if reader.rows[reader.place.get(w, 0)].max() >= NEAR}
-    alone = np.array([*(reader.rows[reader.place[w]] for w in sorted(near)), zero])
-    loose = reader.landmarks.values([broken(words_of(w), rng) for w in sorted(near)])
-    gapped = np.array([*loose.values(), zero])
-
-    def shared(rows: np.ndarray) -> np.ndarray:
-        """Weights that give the words of each landmark the same sum, len(pos) in all; none to the row of zeros, which keeps the shape."""
-        of = np.argmax(rows, axis=1)
-        counts = np.bincount(of, minlength=len(strings))
-        weight = len(pos) / max(1, (counts > 0).sum()) / counts[of]
-        weight[-1] = 0.0
-        return weight
-
-    against = reader.sentences(neg)
-    negatives = np.vstack([zero, *(np.array(b) for b in against if b)])
-    beta = np.ones(len(strings))
-    for _ in range(4):
-        best = np.array([b[int(np.argmax([x @ beta for x in b]))] for b in bags if b])
-        x = np.vstack([best, alone, gapped, negatives]) @ nystrom
-        y = np.array([1.0] * (len(best) + len(alone) + len(gapped)) + [-1.0] * len(negatives))
-        weight = np.concatenate([np.full(len(best), 1.0), shared(alone), 0.2 * shared(gapped), np.full(len(negatives), 1.0)])
-        weight[-len(negatives)] = len(neg)  # a text without units, as most clean ones are
+    against = landmarks.table(sorted(near))
+    negatives = np.vstack([np.zeros((1, len(landmarks.strings))), *(row[None, :] for row in against.values())])
+    # a clean word counts more the more documents have it; the unit that is near nothing, as most are, counts as all
+    of_negatives = CLEAN_WEIGHT * np.array([len(neg), *(1 + np.log2(met[w]) for w in against)])
+    of = Counter(w for own in pos for w in own)
+    # of marks in a crowd of clean words, as stems are, a variant is more likely clean
+    close, docs = np.array([row[:gates] for row in near.values()]).reshape(-1, gates) >= CROWD, np.array([met[w] for w in near])
+    apart = [w for w, n in zip(marks, (close * docs[:, None]).sum(axis=0).tolist(), strict=True) if n < of[w]]
+    loose = landmarks.table(sorted({v for w in apart for v in variants(w, rng)}.difference(met)))
+    beta = np.concatenate([np.ones(gates), np.zeros(len(landmarks.strings) - gates)])
+    for _ in range(3):
+        best = {w: float(of[w]) for w in marks} | Counter(b[int(np.argmax([feature[w] @ beta for w in b]))] for b in bags)
+        words = sorted(best)
+        x = np.vstack([*(feature[w][None, :] for w in words), *(row[None, :] for row in loose.values()), negatives]) @ nystrom
+        y = np.array([1.0] * (len(words) + len(loose)) + [-1.0] * len(negatives))
+        weight = np.concatenate([[float(best[w]) for w in words], np.full(len(loose), VARIANT_WEIGHT), of_negatives])
         w = svm(x, y, weight)
         beta, bias = nystrom @ w[:-1], float(w[-1])
-    f = np.array([max([bias, *(float(x @ beta) + bias for x in b)]) for b in [*bags, *against]])
-    return Model(strings, beta, bias, *calibrate(f, np.array([1.0] * len(pos) + [0.0] * len(neg))))
+    model = Model(landmarks.strings, gates, beta, bias)
+    f = np.array(model.reader().values(texts))
+    return Model(landmarks.strings, gates, beta, bias, slope(f, np.array(toxic)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
@@ -356,6 +338,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with a probability below one half, trained on the labels of sf_dir outside the held-out fold."""
+    """The documents with a score below one half, trained on the labels of sf_dir outside the held-out fold.
+
+    Rows: documents with null or empty texts stay. Repeated rows stay or go together. All columns are kept, whatever their names.
+    An empty table, and labels of one kind only, leave everything as it is.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, "toxicity_of_text").where("toxicity_of_text < 0.5").select(*docs.columns)
+    column = unused(docs, "toxicity")
+    return score(docs, model, column).where(F.col(column) < 0.5).select(*quoted(docs.columns))
