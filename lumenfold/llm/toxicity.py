@@ -44,8 +44,8 @@ WITNESS = 0.5
 FLOOR = -0.75
 #: The kernel value from which a clean word crowds a toxic one.
 CROWD = 0.42
-#: Variants of each kind of a toxic word that training makes, and the weight of clean units.
-VARIANTS, VARIANT_WEIGHT, CLEAN_WEIGHT = 10, 10.0, 4.0
+#: Variants of each kind of a toxic word that training makes, the weight of all of a word's against its documents, and the weight of clean units.
+VARIANTS, VARIANT_WEIGHT, CLEAN_WEIGHT = 10, 3.0, 4.0
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 3000, 20_000
 WINDOW, CACHE = 32, 300_000
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -205,8 +205,8 @@ class Reader:
 
 def choose(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS, precision: float = PRECISION) -> list[str]:
     """The words of most toxic texts that are rare in clean ones. Both: the words of each text."""
-    of, against = Counter(w for own in toxic for w in own if 3 <= len(w) <= WINDOW - 2), Counter(w for own in clean for w in own)
-    weight, least = len(clean) / max(1, len(toxic)), max(3, len(toxic) // 100)
+    of, against = Counter(w for own in toxic for w in own if 4 <= len(w) <= WINDOW - 2), Counter(w for own in clean for w in own)
+    weight, least = len(clean) / max(1, len(toxic)), max(5, len(toxic) // 100)
     found = [w for w, n in of.items() if n >= least and n * weight >= precision * (n * weight + against[w])]
     return sorted(found, key=lambda w: (-of[w], w))[:most]
 
@@ -285,14 +285,15 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     # of marks in a crowd of clean words, as stems are, a variant is more likely clean
     close, docs = np.array([row[:gates] for row in near.values()]).reshape(-1, gates) >= CROWD, np.array([met[w] for w in near])
     apart = [w for w, n in zip(marks, (close * docs[:, None]).sum(axis=0).tolist(), strict=True) if n < of[w]]
-    loose = landmarks.table(sorted({v for w in apart for v in variants(w, rng)}.difference(met)))
+    made = {v: VARIANT_WEIGHT * of[w] / (4 * VARIANTS) for w in apart for v in variants(w, rng)}
+    loose = landmarks.table(sorted(set(made).difference(met)))
     beta = np.concatenate([np.ones(gates), np.zeros(len(landmarks.strings) - gates)])
     for _ in range(3):
         best = {w: float(of[w]) for w in marks} | Counter(b[int(np.argmax([feature[w] @ beta for w in b]))] for b in bags)
         words = sorted(best)
         x = np.vstack([*(feature[w][None, :] for w in words), *(row[None, :] for row in loose.values()), negatives]) @ nystrom
         y = np.array([1.0] * (len(words) + len(loose)) + [-1.0] * len(negatives))
-        weight = np.concatenate([[float(best[w]) for w in words], np.full(len(loose), VARIANT_WEIGHT), of_negatives])
+        weight = np.concatenate([[float(best[w]) for w in words], [made[v] for v in loose], of_negatives])
         w = svm(x, y, weight)
         beta, bias = nystrom @ w[:-1], float(w[-1])
     model = Model(landmarks.strings, gates, beta, bias)
