@@ -193,7 +193,7 @@ def training_rows(docs: DataFrame) -> list:
         return []
     shares = spark.createDataFrame([(r["lang"], max(1, round(1e6 * min(1.0, TRAIN_DOCS / r["n"])))) for r in counts], "lang string, share long")
     some = known.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))  # MAX_LANGS rows at most
-    found = some.select("doc_id", "text", "lang").limit(2 * TRAIN_DOCS * len(counts)).collect()
+    found = some.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * TRAIN_DOCS * len(counts)).collect()
     return sorted(found, key=lambda r: (r["lang"], r["doc_id"], r["text"]))
 
 

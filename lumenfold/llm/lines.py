@@ -7,6 +7,8 @@ estimate; all lines nearer than that get an exact count of distinct sites. A lin
 more is boilerplate: its first place (smallest doc_id, then text hash, then position) stays, and every other
 one is removed. All other lines stay as they are.
 
+Lines are trimmed of spaces alone, so that a line with a tab or carriage return differs from its copy without.
+
 Rows: a null text stays null with 0 lines; an empty text has one empty line. Blank lines are never removed.
 Rows with the same doc_id and text are treated alike. A text that loses all its lines becomes empty; its row
 stays. Other columns pass through unchanged. An empty table gives an empty result.
@@ -14,14 +16,18 @@ stays. Other columns pass through unchanged. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, stored
+from .common import WORD, documents, stored, unused
 
 MIN_SITES = 3
 MIN_WORDS = 3
-NEAR = 3.0
+#: A factor on either side of the threshold within which lines are counted exactly: about nine standard errors of a sketch of 2 ** LG_K
+#: registers (3.25 %), and smaller counts than some hundred are all but exact in it.
+NEAR = 1.3
 LG_K = 10
 
 
@@ -40,8 +46,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR
     return wide.drop("estimate").unionByName(close.drop("estimate").join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, near: float = NEAR) -> DataFrame:
-    """docs with text cleaned, and n_lines and n_removed (names that docs has already are replaced)."""
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, near: float = NEAR, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text cleaned, and the columns n_lines and n_removed (or those named in counts; they replace any that docs has)."""
+    gone_pos, gone_id, gone_hash = (unused(docs, f"{name}{uuid.uuid4().hex}") for name in ("pos", "id", "hash"))
     parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = stored(
         parts.withColumn("line", F.trim("line"))
@@ -52,18 +59,18 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     gone = (
         lines.join(found, ["h1", "h2"])
         .where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-        .agg(F.collect_set("pos").alias("gone"))  # of one document's lines
+        .groupBy(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash))
+        .agg(F.collect_set("pos").alias(gone_pos))  # of one document's lines
     )
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(gone_pos, i)), "\n")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_hash)), "left")
     return joined.withColumns(
         {
-            "n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest),
+            counts[0]: F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"),
+            counts[1]: F.coalesce(F.size(gone_pos), F.lit(0)).cast("long"),
+            "text": F.when(F.col(gone_pos).isNull(), F.col("text")).otherwise(rest),
         }
-    ).drop("gone", "gone_id", "gone_hash")
+    ).drop(gone_pos, gone_id, gone_hash)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@
    and share all words by weight; no target passes `max_epochs` times its source's words, and what that
    frees is shared again by weight.
 2. Each source is dealt into shards by a seeded hash, and the words of a shard's documents, in seeded order,
-   are cut into blocks of `block` words (the last may be shorter).
+   are cut into blocks of `block` words (the last may be shorter). Only a source of less than LEAST_BLOCKS
+   blocks is cut into smaller ones, that many at most, so that its words come near its target too.
 3. A source claims target / size * blocks block reads. Whole reads go to sources, and within a source to its
    shards, by the highest quotients claim / (2 k + 1) (Sainte-Laguë), never above max_epochs * blocks.
 4. A shard with n blocks and quota q reads every block q div n times, and q mod n blocks in a row, from a
@@ -19,6 +20,7 @@ of the input are ignored. The driver holds one row per source and per shard; see
 from __future__ import annotations
 
 import heapq
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, documents, stored
+from .common import WORD, documents, quoted, stored, unused
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK = 64
+#: A source with fewer blocks gets smaller ones; no other source does.
+LEAST_BLOCKS = 128
 DOCS_PER_SHARD = 1024
 MAX_SHARDS = 1024
 #: Rows of (source, shard) that the driver may hold; more is an error, not a cut.
@@ -108,11 +112,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     sizes = [r["size"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], max_epochs)
     shards = [max(1, min(max_shards, -(-r["docs"] // docs_per_shard))) for r in found]
-    block = max(1, min(block, min((s for s in sizes if s), default=1) // 128))
+    own_block = [max(1, min(block, s // LEAST_BLOCKS)) for s in sizes]
 
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.LongType()), T.StructField("shards", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.LongType()), T.StructField("shards", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("block", T.LongType())])
     # one row per source, at most MAX_PARTIES: a proven bound
-    sources = spark.createDataFrame([(r["source"], i, shards[i], sizes[i], float(goal[i])) for i, r in enumerate(found)], schema)
+    sources = spark.createDataFrame([(r["source"], i, shards[i], sizes[i], float(goal[i]), own_block[i]) for i, r in enumerate(found)], schema)
     dealt = (
         sized.withColumnRenamed("source", "own")
         .join(F.broadcast(sources), F.col("own").eqNullSafe(F.col("source")))
@@ -122,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     by_shard = sorted(map(tuple, dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).limit(MAX_PARTIES + 1).collect()))
     if len(by_shard) > MAX_PARTIES:
         raise ValueError(f"over {MAX_PARTIES} shards")
-    blocks = [-(-size // block) for _, _, size in by_shard]
+    blocks = [-(-size // own_block[no]) for no, _, size in by_shard]
     of_source = [0] * len(found)
     for (no, _, _), n in zip(by_shard, blocks, strict=True):
         of_source[no] += n
@@ -138,6 +142,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         at = to
     quotas = spark.createDataFrame(rows, "source_no long, shard long, shard_size long, shard_blocks long, shard_quota long")
 
+    block = F.col("block")
     n, first = F.greatest(F.col("shard_blocks"), F.lit(1)), F.col("first_block")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "shard").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 1)), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest, lo, hi = F.col("rest"), F.col("before"), F.col("before") + F.col("size")
@@ -157,12 +162,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs, each as often as the mix reads it: taken / size, rounded. Documents that it does not read go, those without words too."""
+    """The rows of docs, each as often as the mix reads it: taken / size, rounded. Documents that it does not read go, those without words too.
+
+    Rows: null texts have no words and go. Null sources are one source. Rows with the same doc_id and text are read equally
+    often, by their mean. All columns are kept, whatever their names. An empty table gives an empty result.
+    """
+    mix_id, mix_hash, mix_copies, mix_copy = (unused(docs, f"{name}{uuid.uuid4().hex}") for name in ("id", "hash", "copies", "copy"))
     copies = (
         mix(docs)
-        .groupBy(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"))
-        .agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("mix_copies"))
-        .where("mix_copies > 0")
+        .groupBy(F.col("doc_id").alias(mix_id), F.col("text_hash").alias(mix_hash))
+        .agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(mix_copies))
+        .where(F.col(mix_copies) > 0)
     )
-    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("text") == F.col("mix_hash")))
-    return kept.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    kept = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(mix_id)) & (F.xxhash64("text") == F.col(mix_hash)))
+    return kept.withColumn(mix_copy, F.explode(F.sequence(F.lit(1), F.col(mix_copies)))).select(*quoted(docs.columns))

@@ -432,4 +432,9 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, exact of each row of docs.
+
+    Rows: null and empty texts have no ids; repeated rows stay; other columns, whatever their names, are left out. An empty
+    table gives an empty result.
+    """
     return encode(docs)

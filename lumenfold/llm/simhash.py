@@ -22,6 +22,7 @@ ignored by simhash_groups and kept by simhash_stage. An empty table gives an emp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mapped, slices, stored
+from .common import documents, mapped, quoted, slices, stored, unused
 from .graph import components
 
 RADIUS = 3
@@ -312,11 +313,16 @@ def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest doc_id, then text hash; of equal rows, one."""
+    """One document of each component of near copies: that with the smallest doc_id, then text hash; of equal rows, one.
+
+    Rows: null, empty and blank texts are near copies of each other. A row without doc_id is kept only if its component has
+    none with one. All columns are kept, whatever their names. An empty table gives an empty result.
+    """
+    kept_id, kept_hash, own_hash = (unused(docs, f"{name}{uuid.uuid4().hex}") for name in ("id", "hash", "own"))
     groups = near_groups(docs)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    kept = docs.withColumn("own_hash", F.xxhash64("text")).join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "own_hash"]).select(*docs.columns)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash))
+    kept = docs.withColumn(own_hash, F.xxhash64("text")).join(first.distinct(), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own_hash]).select(*quoted(docs.columns))
 
 
 def hex64(col: str):
