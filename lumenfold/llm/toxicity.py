@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, documents, mapped, quoted, slices, unused
+from .common import crc_mod, documents, give_back, mapped, quoted, slices, unused
 
 ORDER, DECAY = 4, 0.7
 LANDMARKS, CLEAN_LANDMARKS, PRECISION, GATE, OWN = 72, 16, 0.95, 0.75, 0.6
@@ -260,7 +260,9 @@ def variants(word: str, rng: np.random.Generator, n: int = VARIANTS) -> list[str
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
     # near copies of a text, which share its longest line, would make marks of their common words
     once = {(max((t or "").split("\n"), key=len), bool(y)): t for t, y in reversed(list(zip(texts, toxic, strict=True)))}
-    pos, neg = ([{words_of(w) for w in tokens_of(t)} - {""} for (_, y), t in once.items() if bool(y) == want] for want in (True, False))
+    same: dict[str, str] = {}  # one object for each word, however many texts have it
+    pos, neg = ([{same.setdefault(w, w) for w in map(words_of, tokens_of(t)) if w} for (_, y), t in once.items() if bool(y) == want] for want in (True, False))
+    del same, once
     marks = choose(pos, neg) if pos and neg else []
     if not marks:
         return None
@@ -297,7 +299,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model | None:
         w = svm(x, y, weight)
         beta, bias = nystrom @ w[:-1], float(w[-1])
     model = Model(landmarks.strings, gates, beta, bias)
-    f = np.array(model.reader().values(texts))
+    del pos, neg, near, feature, bags, against, loose, met
+    reader = model.reader()
+    f = np.concatenate([reader.values(texts[a : a + 100]) for a in range(0, len(texts), 100)])  # the driver holds the words of a few texts
     return Model(landmarks.strings, gates, beta, bias, slope(f, np.array(toxic)))
 
 
@@ -312,7 +316,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = training_rows(docs, labels)
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    del rows
+    give_back()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "toxicity") -> DataFrame:
