@@ -50,8 +50,9 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
     """
     files = N.with_name_parts(catalog.files).withColumn("length", F.coalesce("length", F.lit(0).cast("bigint")))
     if not options.strict_parity:
-        root = N.normalised(F.lit(options.dst_root))
-        files = files.where(~F.startswith(N.normalised(F.col("path")), F.concat(root, F.lit("/"))))
+        # a target inside the source holds what was filed before; a source inside the target is all to be filed
+        root, source = (F.concat(N.normalised(F.lit(at or "")), F.lit("/")) for at in (options.dst_root, options.src_root))
+        files = files.where(F.startswith(source, root) | ~F.startswith(N.normalised(F.col("path")), root))
     if options.resume_enabled and catalog.history is not None:
         there = catalog.dst if catalog.dst is not None else F.lit(False)
         files = resumed(files, catalog.history, there, options.strict_parity)

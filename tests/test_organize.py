@@ -9,6 +9,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.plans.organize import Catalog, routed
 from lumenfold.model import Options
 from lumenfold.operators import naming, ranking
 from lumenfold.plans import fixtures
@@ -202,3 +203,15 @@ def test_stream_of_inventories(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["batch"], r["path"], r["outcome"]) for r in out.collect()} >= {(0, "/s/IMG_20200101.jpg", "filed"), (0, "/s/a.txt", "junk")}
     assert out.where("batch = 1").count() == 2
+
+
+def test_nested_roots(spark):
+    """Files below the target are left out only if the target lies in the source."""
+    files = spark.createDataFrame([("/photos/inbox/a.jpg", 5, 1.0), ("/photos/b.jpg", 6, 1.0)], "path string, length long, mtime double")
+
+    def planned(src, dst):
+        return {r["path"] for r in routed(Catalog(files), Options(src, dst)).collect()}
+
+    assert planned("/photos/inbox", "/photos") == {"/photos/inbox/a.jpg", "/photos/b.jpg"}
+    assert planned("/photos", "/photos") == {"/photos/inbox/a.jpg", "/photos/b.jpg"}
+    assert planned("/photos", "/photos/inbox") == {"/photos/b.jpg"}
