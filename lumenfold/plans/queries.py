@@ -288,23 +288,14 @@ def sequence_name(spark, d):
     return plan.select("path", "dest")
 
 
-@query(
-    """SELECT path, CASE WHEN n = 1 THEN name ELSE left(name, length(name) - length(raw_ext)) || '_' || (n - 1) || raw_ext END AS target_name
-    FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dir, path) AS n FROM media WHERE k % 7 = 5)"""
-)
 def unique_name(spark, d):
-    rows = X.media_files(spark, d).where("(file_id div 2) % 7 = 5").select("path", F.lit("/dst/No_Date").alias("target_dir"), "name")
-    return naming.unique_names(rows).select("path", "target_name")
-
-
-def unique_name_all(spark, d):
-    """unique_name on all files. Without SQL, which cannot follow a chain of collisions; tests compare it with the loop."""
+    """Target names of all files in one folder. Without SQL, which cannot follow a chain of collisions; tests compare it with the loop."""
     rows = X.media_files(spark, d).select("path", F.lit("/dst/No_Date").alias("target_dir"), "name")
     return naming.unique_names(rows).select("path", "target_name")
 
 
 #: Queries that SQL cannot express.
-ROWS_ONLY = {"unique_name_all": unique_name_all}
+ROWS_ONLY = {"unique_name": unique_name}
 
 
 @query("SELECT path, route, outcome, tag, target_dir FROM plan")

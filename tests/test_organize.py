@@ -170,7 +170,7 @@ def test_unique_names_of_all_files(spark):
         parts = [os.path.splitext(n) for n in names]
         return dict(zip([p for p, _ in sorted(rows)], naming.assign(names, [b for b, _ in parts], [e for _, e in parts], set()), strict=True))
 
-    got = {r["path"]: r["target_name"] for r in entry.queries()["unique_name_all"](spark, d).collect()}
+    got = {r["path"]: r["target_name"] for r in entry.queries()["unique_name"](spark, d).collect()}
     assert got == loop(files) and len(set(got.values())) == len(files)
     changed = [p for p, n in files if got[p] != n]
     assert any("/misc" in p for p in changed) and any("/misc" not in p for p in changed)
