@@ -298,8 +298,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, sim
 def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """doc_id, text_hash, root (the class that names the component of near copies): a row per document."""
     rows = stored(sketches(docs, n))
-    classes = stored(rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash")))
-    # the texts of a class have one set, but its hashes may repeat, so fp is that of one of them
+    classes = stored(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("text_hash").alias("text_hash")))
+    # the texts of a class have one set, but its hashes may repeat, so fp is the least of theirs
     heads = stored(classes.groupBy("fp").agg(F.min("sid").alias("head")))
     near = links(heads.select("fp")).distinct()
     far = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
