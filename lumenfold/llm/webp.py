@@ -2,14 +2,19 @@
 
 `decode` reads any still lossless WebP: simple and normal prefix codes, several code groups, back-references,
 the colour cache, and the inverse predictor, cross-colour, subtract-green and colour-indexing transforms.
-It returns the pixels as an array of height x width x 4 bytes (red, green, blue, alpha). Codes of one byte
-per pixel (grey pictures) are read by table look-ups at all bit positions at once, all others one by one.
-`encode` writes pictures with any of these features; `encode_bytes` stores bytes as grey pictures of
-WIDTH samples a row, one after the other if the bytes need more than MAX_ROWS rows.
+It returns the pixels as an array of height x width x 4 bytes (red, green, blue, alpha). Pictures of one
+symbol per pixel (grey ones) and their back-references are read by table look-ups at all bit positions at
+once, all others one by one. `encode` writes pictures with any of these features; `pixel_arrays` decodes a
+column of files; `encode_bytes` stores bytes as grey pictures of WIDTH samples a row, one after the other if
+the bytes need more than MAX_ROWS rows. A grey picture takes what shortens it: back-references to repeats of
+MATCH samples or more, a palette of packed places for 16 values or fewer, else subtract-green, and a predictor
+where differences have less entropy. Colour cache and cross-colour cannot shorten a picture whose channels
+are alike (a pixel is one symbol already), so only `encode` writes them.
 
 op3 stores each text's bytes (null: empty), padded to whole rows of WIDTH samples, writes the media column
-as a table, reads it again, decodes it and computes the rest from the decoded samples. Repeated rows are
-kept; equal texts have equal media. Extra columns are ignored. An empty table gives an empty result.
+as a table, reads it again, decodes it and computes the rest from the decoded samples; n_palettes,
+n_predictors and n_references count what the reader met. Repeated rows are kept; equal texts have equal
+media. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +30,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .common import documents, slices, stored
 
 WIDTH, MAX_ROWS = 576, 4096
+#: Shortest repeat that becomes a back-reference; its greatest length and distance; the least gain of a predictor.
+MATCH, MAX_LENGTH, MAX_DISTANCE, GAIN = 8, 4096, (1 << 20) - 120, 0.03
 #: Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, COLOUR_INDEXING = 0, 1, 2, 3
+KINDS = ("predictors", "cross_colours", "subtract_greens", "palettes")
 ALPHABETS = (256 + 24, 256, 256, 256, 40)
 #: Places near a pixel, nearest first, that short distance codes name: x to the left, y up.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
+NEAR_X, NEAR_Y = np.array(NEAR).T.copy()
 
 
 # ---- bits and prefix codes
@@ -118,6 +128,11 @@ def reversed_bits(n: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=256)
+def code_of_lengths(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, dtype=np.int64))
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     lengths = np.zeros(alphabet, dtype=np.int64)
     if bits.read(1):
@@ -129,7 +144,7 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     of_lengths = np.zeros(19, dtype=np.int64)
     for i in range(4 + bits.read(4)):
         of_lengths[LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(of_lengths)
+    code = code_of_lengths(of_lengths.tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
     while at < alphabet and left:
@@ -152,9 +167,9 @@ def read_code(bits: Bits, alphabet: int) -> Code:
 # ---- decoding
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file: height x width x 4, red, green, blue, alpha."""
-    return decode_stream(chunk(data)[0])
+def decode(data: bytes, met: dict[str, int] | None = None) -> np.ndarray:
+    """The pixels of a lossless WebP file: height x width x 4, red, green, blue, alpha. met counts transforms and references."""
+    return decode_stream(chunk(data)[0], met)
 
 
 def chunk(data: bytes, at: int = 0) -> tuple[bytes, int]:
@@ -170,7 +185,7 @@ def chunk(data: bytes, at: int = 0) -> tuple[bytes, int]:
     raise ValueError("no lossless picture in the file")
 
 
-def decode_stream(data: bytes) -> np.ndarray:
+def decode_stream(data: bytes, met: dict[str, int] | None = None) -> np.ndarray:
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless stream")
@@ -194,7 +209,11 @@ def decode_stream(data: bytes) -> np.ndarray:
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             transforms.append((kind, own, pack, table))
             own = -(-own >> pack)
-    pixels = argb_bytes(decode_image(bits, own, height, True)).reshape(height, own, 4)
+    references: list[int] = []
+    pixels = argb_bytes(decode_image(bits, own, height, True, references)).reshape(height, own, 4)
+    if met is not None:
+        for name, n in [*((KINDS[t[0]], 1) for t in transforms), ("references", sum(references))]:
+            met[name] = met.get(name, 0) + n
     for kind, w, size, table in reversed(transforms):
         pixels = (inverse_predictor, inverse_cross_colour, add_green, inverse_indexing)[kind](pixels, w, size, table)
     return pixels[:, :, [2, 1, 0, 3]]
@@ -205,8 +224,9 @@ def argb_bytes(argb: np.ndarray) -> np.ndarray:
     return argb.astype("<u4").view(np.uint8).reshape(-1, 4)
 
 
-def decode_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded picture as numbers with alpha highest, then red, green, blue."""
+def decode_image(bits: Bits, width: int, height: int, main: bool, references: list[int] | None = None) -> np.ndarray:
+    """An entropy-coded picture as numbers with alpha highest, then red, green, blue. references gets the number of back-references."""
+    references = [] if references is None else references
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -223,45 +243,99 @@ def decode_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if green.only is not None and green.only < 256:
             return np.full(n, rest | green.only << 8, dtype=np.uint32)
         if green.only is None and n >= 64:
-            symbols = literals(bits, green, n)
+            symbols = literals(bits, green, codes[0][4], n, width, references)
             if symbols is not None:
                 return (symbols.astype(np.uint32) << np.uint32(8)) | np.uint32(rest)
-    return np.array(decode_pixels(bits, width, n, codes, cache_bits, of_block, block), dtype=np.uint32)
+    return np.array(decode_pixels(bits, width, n, codes, cache_bits, of_block, block, references), dtype=np.uint32)
 
 
-def literals(bits: Bits, code: Code, n: int, doublings: int = 6) -> np.ndarray | None:
-    """The next n symbols if all are literals, else None and the reader stays."""
+def literals(bits: Bits, green: Code, distance: Code, n: int, width: int, references: list[int], doublings: int = 6) -> np.ndarray | None:
+    """The next n samples of a picture whose literals are one symbol each, back-references resolved.
+
+    At every bit position, the step to the next token if one began there is looked up; positions of tokens follow by
+    doubling the steps. Only copies are made one by one.
+    """
     start = bits.place()
-    lengths, symbols = code.lengths, code.symbols
     data = np.frombuffer(bits.data, dtype=np.uint8)[start // 8 :]
-    least = int(lengths.min())
-    data = np.concatenate([data[: (n * code.top + 7) // 8 + 1], np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
+    data = np.concatenate([data[: 8 * n + 8], np.zeros(8, dtype=np.uint8)]).astype(np.uint32)
     words = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16)
-    windows = ((words[:, None] >> np.arange(8, dtype=np.uint32)[None, :]) & np.uint32((1 << code.top) - 1)).ravel()
+    # numpy indexes fastest by its own integers; large pictures take the narrower ones
+    kind = np.int64 if len(words) < 1 << 16 else np.int32
+    windows = ((words[:, None] >> np.arange(8, dtype=np.uint32)[None, :]) & np.uint32(0x7FFF)).astype(kind).ravel()
     last = len(windows) - 1
-    jump = np.minimum(np.arange(len(windows), dtype=np.int32) + lengths.astype(np.int32)[windows], last)
+    own = windows & ((1 << green.top) - 1)
+    sizes, symbols = green.lengths.astype(kind)[own], green.symbols.astype(kind)[own]
+    steps, maybe = sizes.copy(), np.flatnonzero(symbols >= 256)
+    steps[maybe] = far_symbols(windows, maybe, sizes, symbols, distance)[3]
+    jump = np.minimum(np.arange(len(windows), dtype=kind) + steps, last)
     jumps = [jump]
     while len(jumps) <= doublings and n >> len(jumps):
         jumps.append(jumps[-1][jumps[-1]])
     k, at = len(jumps) - 1, start % 8
-    far, marks = jumps[k].tolist() if n * least > 1 << 20 else jumps[k], []
+    far, marks = jumps[k].tolist() if last > 1 << 20 else jumps[k], []
     for _ in range(-(-n >> k)):
         marks.append(at)
         at = int(far[at])
-    places = np.array(marks, dtype=np.int32)
+        if at == last:
+            break
+    places = np.array(marks, dtype=kind)
     for i in range(k - 1, -1, -1):
-        both = np.empty(2 * len(places), dtype=np.int32)
+        both = np.empty(2 * len(places), dtype=kind)
         both[0::2], both[1::2] = places, jumps[i][places]
         places = both
-    places = places[:n]
-    found = symbols[windows[places]]
-    if found.max() >= 256:
-        return None
-    end = start - start % 8 + int(places[-1]) + int(lengths[windows[places[-1]]])
+    found = symbols[places]
+    lengths, back = np.ones(len(places), dtype=np.int64), np.flatnonzero(found >= 256)
+    prefix, after, symbol, step = far_symbols(windows, places[back], sizes, symbols, distance)
+    lengths[back] = extra_values(prefix, windows, after - extras(prefix), last)
+    ends = np.cumsum(lengths)
+    tokens = int(np.searchsorted(ends, n)) + 1
+    if tokens > len(ends) or ends[tokens - 1] != n:
+        raise ValueError("a back-reference leaves the picture")
+    end = start - start % 8 + int(places[tokens - 1]) + int(steps[places[tokens - 1]])
     if end > 8 * len(bits.data):
         raise ValueError("the stream ends early")
     bits.skip_to(end)
-    return found
+    within = back < tokens
+    own_places, symbol, step = places[back][within], symbol[within], step[within]
+    value = extra_values(symbol, windows, own_places + step - extras(symbol), last)
+    value = np.where(value > 120, value - 120, np.maximum(1, NEAR_X + NEAR_Y * width)[np.minimum(value, 120) - 1])
+    begins = ends - lengths
+    out, plain = np.zeros(n, dtype=np.uint8), np.flatnonzero(found[:tokens] < 256)
+    out[begins[plain]] = found[plain]
+    references.append(len(value))
+    if not len(value):
+        return out
+    copy = bytearray(out.tobytes())
+    for b, size, d in zip(begins[back][within].tolist(), lengths[back][within].tolist(), value.tolist(), strict=True):
+        if d > b:
+            raise ValueError("a back-reference leaves the picture")
+        copy[b : b + size] = copy[b - d : b - d + size] if d >= size else (copy[b - d : b] * (size // d + 1))[:size]
+    return np.frombuffer(bytes(copy), dtype=np.uint8)
+
+
+def extras(prefix: np.ndarray) -> np.ndarray:
+    """Numbers of extra bits of prefix codes."""
+    return np.maximum(prefix - 2, 0) >> 1
+
+
+def extra_values(prefix: np.ndarray, windows: np.ndarray, at: np.ndarray, last: int) -> np.ndarray:
+    """Lengths or distances of prefix codes whose extra bits begin at places of 15-bit windows."""
+    n = extras(prefix).astype(np.int64)
+    low, high = np.minimum(n, 15), np.maximum(n - 15, 0)
+    read = windows[np.minimum(at, last)] & ((1 << low) - 1) | (windows[np.minimum(at + 15, last)] & ((1 << high) - 1)) << 15
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + read + 1)
+
+
+def far_symbols(windows: np.ndarray, places: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, distance: Code) -> tuple[np.ndarray, ...]:
+    """Of back-references at places: length prefix, place of the distance symbol, that symbol, bits in all."""
+    prefix = symbols[places] - 256
+    after = places + sizes[places] + extras(prefix)
+    if distance.only is not None:
+        symbol, size = np.full(len(places), distance.only, dtype=np.int32), 0
+    else:
+        own = windows[np.minimum(after, len(windows) - 1)] & ((1 << distance.top) - 1)
+        symbol, size = distance.symbols.astype(np.int32)[own], distance.lengths.astype(np.int32)[own]
+    return prefix, after, symbol, after - places + size + extras(symbol)
 
 
 def extra_value(prefix: int, bits: Bits) -> int:
@@ -271,7 +345,7 @@ def extra_value(prefix: int, bits: Bits) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def decode_pixels(bits: Bits, width: int, n: int, codes: list[list[Code]], cache_bits: int, of_block: np.ndarray | None, block: int) -> list[int]:
+def decode_pixels(bits: Bits, width: int, n: int, codes: list[list[Code]], cache_bits: int, of_block: np.ndarray | None, block: int, references: list[int]) -> list[int]:
     out: list[int] = []
     cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
     group = codes[0]
@@ -300,6 +374,7 @@ def decode_pixels(bits: Bits, width: int, n: int, codes: list[list[Code]], cache
                 far = max(1, x + y * width)
             if far > len(out) or len(out) + length > n:
                 raise ValueError("a back-reference leaves the picture")
+            references.append(1)
             if far >= length:
                 out += out[len(out) - far : len(out) - far + length]
             else:
@@ -465,7 +540,9 @@ class Out:
 
 #: A complete code for code lengths 0 to 15 and runs of zeros (17, 18): 4 bits each, 5 for the last four.
 _OF_LENGTHS = np.array([4] * 14 + [5, 5, 0, 5, 5])
-_OF_LENGTHS_WORDS = code_words(_OF_LENGTHS).tolist()
+_OF_LENGTHS_WORDS, _OF_LENGTHS_SIZES = code_words(_OF_LENGTHS).tolist(), _OF_LENGTHS.tolist()
+#: No simple code, 19 lengths, all symbols.
+_OF_LENGTHS_HEAD = 15 << 1 | sum(_OF_LENGTHS_SIZES[s] << 5 + 3 * i for i, s in enumerate(LENGTH_ORDER))
 
 
 def write_code(out: Out, lengths: np.ndarray) -> None:
@@ -473,12 +550,8 @@ def write_code(out: Out, lengths: np.ndarray) -> None:
     if len(used) <= 1 and (used or [0])[0] < 256:
         out.write(1 | (used[0] << 3 if used and used[0] > 1 else (used or [0])[0] << 3) | (4 if used and used[0] > 1 else 0), 11 if used and used[0] > 1 else 4)
         return
-    out.write(0, 1)
-    out.write(15, 4)
-    for s in LENGTH_ORDER:
-        out.write(int(_OF_LENGTHS[s]), 3)
-    out.write(0, 1)
-    size, at, values = _OF_LENGTHS.tolist(), 0, lengths.tolist()
+    out.write(_OF_LENGTHS_HEAD, 1 + 4 + 3 * 19 + 1)
+    size, at, values = _OF_LENGTHS_SIZES, 0, lengths.tolist()
     edges = [*used, len(values)]
     for edge in edges:
         while edge > at:  # a run of zeros
@@ -505,7 +578,7 @@ def packed(words: np.ndarray, lengths: np.ndarray, first: int) -> bytes:
     value = words.astype(np.uint32) << (begin & 7).astype(np.uint32)
     at = begin >> 3
     out = np.zeros((total + 7) // 8 + 4, dtype=np.int64)
-    for i in range(3):
+    for i in range(4):
         part = (value >> np.uint32(8 * i)) & np.uint32(255)
         out += np.bincount(at + i, part, len(out)).astype(np.int64)  # bits never overlap, so sums are unions
     return out[: (total + 7) // 8].astype(np.uint8).tobytes()
@@ -522,23 +595,132 @@ def framed(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def entropy(samples: np.ndarray) -> float:
+    """Bits of all samples under their own frequencies."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    counts = counts[counts > 0]
+    return float(counts @ (np.log2(samples.size) - np.log2(counts)))
+
+
+def residuals(samples: np.ndarray) -> tuple[int, np.ndarray]:
+    """The predictor that pays most, 0 for none, 1 for the left sample and 2 for the one above, and what it leaves over."""
+    edge = samples.copy()
+    edge[0, 1:] -= samples[0, :-1]
+    edge[1:, 0] -= samples[:-1, 0]
+    best = (entropy(samples) * (1 - GAIN), 0, samples)
+    for mode, guess in ((1, samples[1:, :-1]), (2, samples[:-1, 1:])):
+        if mode == 1 or len(samples) > 1:
+            own = edge.copy()
+            own[1:, 1:] -= guess
+            best = min(best, (entropy(own), mode, own), key=lambda t: t[:2])
+    return best[1:]
+
+
+def repeats(flat: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Begins, lengths and distances of back-references, greedily from the start, each to the nearest earlier equal window."""
+    n = len(flat) - MATCH + 1
+    if n < 2:
+        return [], [], []
+    keys = np.ndarray(n, "<u8", np.concatenate([flat, np.zeros(8, dtype=np.uint8)]), strides=(1,)) & np.uint64((1 << 8 * MATCH) - 1)
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    same = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+    far, later = np.zeros(n, dtype=np.int64), order[same + 1]
+    far[later] = later - order[same]
+    far[far > MAX_DISTANCE] = 0
+    # windows side by side with one distance are one longer match
+    edges = np.flatnonzero(np.diff(far)) + 1
+    firsts, lasts = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
+    real = far[firsts] > 0
+    begins, lengths, distances, at = [], [], [], 0
+    for first, end, d in zip(firsts[real].tolist(), lasts[real].tolist(), far[firsts][real].tolist(), strict=True):
+        if at < first:
+            at = first
+        while at < end:
+            size = end - at + MATCH - 1
+            if size > MAX_LENGTH:
+                size = MAX_LENGTH
+            begins.append(at)
+            lengths.append(size)
+            distances.append(d)
+            at += size
+    return begins, lengths, distances
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes, extra bits' numbers and values of lengths or distances."""
+    v = values.astype(np.int64) - 1
+    high = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1, 1)
+    small = v < 4
+    n = np.where(small, 0, high - 1)
+    return np.where(small, v, 2 * high + (v >> (high - 1) & 1)), n, np.where(small, 0, v & ((1 << n) - 1))
+
+
+@functools.lru_cache(maxsize=16)
+def near_codes(width: int) -> dict[int, int]:
+    """Short codes by distance."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
     """A WebP file of a height x width array of bytes, as a grey picture."""
     height, width = samples.shape
-    flat = samples.ravel()
-    lengths = code_lengths(np.bincount(flat, minlength=ALPHABETS[0]))
     out = header(width, height, False)
-    out.write(1 | SUBTRACT_GREEN << 1, 3)
+    used, alpha = np.flatnonzero(np.bincount(samples.ravel(), minlength=256)), 255
+    if len(used) <= 16:
+        pack = 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1
+        out.write(1 | COLOUR_INDEXING << 1, 3)
+        out.write(len(used) - 1, 8)
+        table = np.full((len(used), 4), 255, dtype=np.uint8)
+        table[:, :3] = used[:, None]
+        write_image(out, np.diff(table, axis=0, prepend=np.zeros((1, 4), dtype=np.uint8)), len(used), False)
+        wide = np.zeros((height, -(-width >> pack) << pack), dtype=np.int64)
+        wide[:, :width] = np.searchsorted(used, samples)
+        own = (wide.reshape(height, -1, 1 << pack) << ((8 >> pack) * np.arange(1 << pack))).sum(axis=2).astype(np.uint8)
+    else:
+        out.write(1 | SUBTRACT_GREEN << 1, 3)
+        mode, own = residuals(samples)
+        if mode:
+            out.write(1 | PREDICTOR << 1, 3)
+            out.write(7, 3)  # blocks of 512, all alike
+            across, down = -(-width >> 9), -(-height >> 9)
+            table = np.zeros((across * down, 4), dtype=np.uint8)
+            table[:, 1], table[:, 3] = mode, 255
+            write_image(out, table, across, False)
+            alpha = 0
     out.write(0, 1 + 1 + 1)  # no more transforms, no colour cache, one code group
+    flat, width = own.ravel(), own.shape[1]
+    begins, sizes, far = repeats(flat) if flat.min() < flat.max() else ([], [], [])
+    at, sizes = np.array(begins, dtype=np.int64), np.array(sizes, dtype=np.int64)
+    near = near_codes(width)
+    steps = np.bincount(at, minlength=len(flat) + 1) - np.bincount(at + sizes, minlength=len(flat) + 1)
+    begun = np.cumsum(steps[:-1]) == 0
+    plain = np.flatnonzero(begun)
+    begun[at] = True
+    token = np.cumsum(begun) - 1  # of each begin
+    (length, n, v), (distance, m, w) = prefixes(sizes), prefixes(np.array([near.get(d, d + 120) for d in far], dtype=np.int64))
+    green = np.concatenate([flat[plain].astype(np.int64), 256 + length])
+    lengths, far_lengths = code_lengths(np.bincount(green, minlength=ALPHABETS[0])), code_lengths(np.bincount(distance, minlength=ALPHABETS[4]))
     write_code(out, lengths)
-    for symbol in (0, 0, 255, 0):  # red and blue less green, alpha, distance
+    for symbol in (0, 0, alpha):  # red and blue less green, alpha
         lone = np.zeros(256, dtype=np.int64)
         lone[symbol] = 1
         write_code(out, lone)
+    write_code(out, far_lengths)
     if np.count_nonzero(lengths) == 1:
         return framed(out.bytes())
+    fields, bits = np.zeros((len(green), 4), dtype=np.int64), np.zeros((len(green), 4), dtype=np.int64)
+    own = np.concatenate([token[plain], token[at]])
+    fields[own, 0], bits[own, 0] = code_words(lengths)[green], lengths[green]
+    if len(at):
+        own = token[at]
+        fields[own, 1], bits[own, 1] = v, n
+        if np.count_nonzero(far_lengths) > 1:
+            fields[own, 2], bits[own, 2] = code_words(far_lengths)[distance], far_lengths[distance]
+        fields[own, 3], bits[own, 3] = w, m
     head, first = out.bytes(), out.n % 8
-    body = packed(code_words(lengths)[flat], lengths[flat], first)
+    real = bits > 0
+    body = packed(fields[real], bits[real], first)
     if first:
         body = bytes([head[-1] | body[0]]) + body[1:]
         head = head[:-1]
@@ -551,12 +733,12 @@ def encode_bytes(data: bytes, width: int = WIDTH, max_rows: int = MAX_ROWS) -> b
     return b"".join(encode_grey(rows[a : a + max_rows]) for a in range(0, len(rows), max_rows))
 
 
-def decode_bytes(media: bytes) -> np.ndarray:
+def decode_bytes(media: bytes, met: dict[str, int] | None = None) -> np.ndarray:
     """The samples of grey pictures, one after the other."""
     at, parts = 0, []
     while at < len(media):
         stream, at = chunk(media, at)
-        parts.append(decode_stream(stream)[:, :, 1].ravel())
+        parts.append(decode_stream(stream, met)[:, :, 1].ravel())
     return np.concatenate(parts)
 
 
@@ -657,7 +839,7 @@ def write_image(out: Out, own: np.ndarray, width: int, main: bool, cache_bits: i
             write_image(out, table, across, False)
             of = lambda i: int(table[(i // width >> block) * across + (i % width >> block), 1])
     cache, shift, items, i, seen = [0] * (1 << cache_bits), 32 - cache_bits, [], 0, {}
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+    near = near_codes(width)
     while i < len(values):
         length = 0
         if references and i + 3 <= len(values) and (back := seen.get(tuple(values[i : i + 3]))) is not None:
@@ -706,6 +888,38 @@ def write_image(out: Out, own: np.ndarray, width: int, main: bool, cache_bits: i
 # ---- the query
 
 
+def pixel_arrays(table: DataFrame, column: str = "media") -> DataFrame:
+    """Every row of table with height, width and pixels (height x width x 4 bytes: red, green, blue, alpha) of its WebP file.
+
+    Null files, and files that are not a lossless WebP, give nulls. All columns stay; new names that table has already get
+    an underscore more.
+    """
+    names = []
+    for name in ("height", "width", "pixels"):
+        while name.lower() in {c.lower() for c in [*table.columns, *names]}:
+            name += "_"
+        names.append(name)
+    place = table.columns.index(column)
+    kinds = [pa.int32(), pa.int32(), pa.binary()]
+
+    def one(file: bytes | None) -> tuple:
+        try:
+            found = None if file is None else decode(bytes(file))
+        except (ValueError, IndexError, struct.error):
+            found = None
+        return (None, None, None) if found is None else (*found.shape[:2], found.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file can be large: one row at a time
+                part = batch.slice(i, 1)
+                cells = one(part.column(place)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([c], k) for c, k in zip(cells, kinds, strict=True))], [*part.schema.names, *names])
+
+    schema = StructType([*table.schema.fields, *(StructField(n, k) for n, k in zip(names, (IntegerType(), IntegerType(), BinaryType()), strict=True))])
+    return table.mapInArrow(run, schema)
+
+
 def padded(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, -(-len(data) // WIDTH)) * WIDTH
@@ -724,6 +938,10 @@ def media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: What read_back counts a row.
+COUNTED = ("palettes", "predictors", "references")
+
+
 def feature(samples: np.ndarray) -> str:
     """Mean, deviation and distinct values of samples, and which of 64 equal parts are lighter than the whole."""
     counts = np.bincount(samples, minlength=256)
@@ -742,17 +960,18 @@ def read_back(table: DataFrame) -> DataFrame:
             for part in slices(batch, "media"):
                 rows = []
                 for own in part.column("media").to_pylist():
-                    samples = decode_bytes(own)
+                    met: dict[str, int] = {}
+                    samples = decode_bytes(own, met)
                     data = samples.tobytes()
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(own), hashlib.sha256(own).hexdigest(), feature(samples)))
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(own), hashlib.sha256(own).hexdigest(), feature(samples), *(met.get(k, 0) for k in COUNTED)))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * len(COUNTED)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(f"n_{k}" for k in COUNTED)],
                 )
 
-    return table.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return table.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + "".join(f", n_{k} long" for k in COUNTED))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
