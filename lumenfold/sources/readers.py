@@ -31,8 +31,8 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """path, body of the JSON files below root."""
-    found = scan(spark, root, content=True).where(F.endswith("path", F.lit(".json")))
+    """path, body of the JSON files below root; no other file is opened."""
+    found = scan(spark, root, "path string, content binary").where(F.col("path").endswith(".json"))
     return found.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("body"))
 
 
