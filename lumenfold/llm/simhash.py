@@ -10,10 +10,12 @@ compared whole. A tile pair yields a spanning forest of its links, not all its p
 A radius other than RADIUS has no bands: all classes are one group, cut into tiles in the same way.
 
 simhash_stage has another definition: texts are near copies if the Jaccard similarity of their sets of
-NEAR_SHINGLE-word shingles is NEAR_SIMILARITY or more. Texts of one set are one class. Links of RADIUS bits
-are confirmed by their sets first; then all pairs of classes within NEAR_RADIUS bits that these links have
-not joined yet, and whose sizes allow the similarity, are confirmed too. Only what differs by more than
-NEAR_RADIUS bits is not seen.
+NEAR_SHINGLE-word shingles is NEAR_SIMILARITY or more. Texts of one set are one class. Classes meet in groups of an equal band of
+minhashes (BANDS of BAND_ROWS), which a pair at the similarity shares with a probability of 0.9998 at least; no class is compared
+with all others. In every group each class is confirmed against the least one, by the whole sets, and so are links of RADIUS bits.
+What these have joined needs no more pairs, so a large group of near copies costs as many pairs as it has members. Then groups that
+still hold several components are cut into tiles as above, and all pairs within NEAR_RADIUS bits of different components, whose
+sizes allow the similarity, are confirmed too.
 
 Rows: null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows and
 ids are kept. A component's id is its smallest doc_id, null only if all are null. Extra columns are
@@ -40,8 +42,8 @@ TILE, REFINE = 4096, 65536
 SEED = 42
 #: The pipeline's near copies: words of a shingle, Jaccard similarity, and bits within which they are sought.
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 16
-#: Classes of a tile of the wide comparison, and the least number of tiles, which spreads small inputs too.
-WIDE_TILE, WIDE_LEAST = 16384, 20
+#: Bands of minhashes, and minhashes of a band. A pair at similarity s shares a band with a probability of 1 - (1 - s ** rows) ** bands.
+BANDS, BAND_ROWS = 16, 4
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
@@ -109,12 +111,18 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS, rows:
 
 
 def small_groups(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of an equal key, runs of `most` rows at most: row i against row i + 1, i + 2, ... at once."""
+    """Links within runs of an equal key, runs of `most` rows at most: row i against row i + 1, i + 2, ... at once.
+
+    A run is ordered by population count; a row whose next ones differ by more than the radius in it is not compared with them.
+    """
+    bits = np.bitwise_count(fp)
+    order = np.lexsort((bits, key))
+    key, fp, bits = key[order], fp[order], bits[order].astype(np.int16)
     left, right, run = [], [], np.ones(len(key), dtype=bool)
     for d in range(1, most):
         if len(key) <= d:
             break
-        run = run[: len(key) - d] & (key[: len(key) - d] == key[d:])
+        run = run[: len(key) - d] & (key[: len(key) - d] == key[d:]) & (bits[d:] - bits[: len(key) - d] <= radius)
         if not run.any():
             break
         at = np.nonzero(run)[0]
@@ -128,27 +136,9 @@ def small_groups(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS, most: in
 def compare(tiles: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links of each group, whose rows lie together and in order. tiles: key, side (0, 1; 2: one tile against itself), fp."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Whole groups only, several at once: the last group of a batch waits for the next batch."""
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if not len(now[0]):
-                continue
-            new = np.nonzero(now[0] != now[0][-1])[0]
-            cut = int(new[-1]) + 1 if len(new) else 0
-            if held and (cut or now[0][0] != held[0][0][-1]):
-                yield tuple(np.concatenate([*(h[i] for h in held), now[i][:cut]]) for i in range(3))
-                held = []
-            elif cut:
-                yield tuple(x[:cut] for x in now)
-            held.append([x[cut:] for x in now])
-        if held:
-            yield tuple(np.concatenate([h[i] for h in held]) for i in range(3))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, side, signed in groups(batches):
-            fp = signed.astype(np.int64).view(np.uint64)
+        for found in group_runs(batches, ["key", "side", "fp"]):
+            key, side, fp = found["key"], found["side"], found["fp"].astype(np.int64).view(np.uint64)
             starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
             ends = np.concatenate([starts[1:], [len(key)]])
             large = (ends - starts > 64) | (side[starts] != 2)
@@ -189,17 +179,23 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE, refine: in
 
 def tiled_links(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
     """a, b: links within the groups of dealt (fp, key)."""
+    return compare(tiles_of(dealt, radius, tile), radius)
+
+
+def tiles_of(dealt: DataFrame, radius: int, tile: int) -> DataFrame:
+    """key, side and the columns of dealt (fp, key, ...): each group, or the pairs of its tiles whose population counts are within the radius."""
+    own_columns = [c for c in dealt.columns if c != "key"]
     # groups above one tile: tiles of an equal population count, met only by tiles within the radius of it
     counts = dealt.groupBy("key", F.bit_count("fp").alias("bits")).agg(F.count("*").alias("n"))
     over = counts.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bits", F.ceil(F.col("n") / tile).cast("int").alias("k"))).alias("tiles")).where(F.col("all") > tile)  # at most 65 counts
     marked = dealt.join(over, "key", "left")
-    single = marked.where(F.col("all").isNull()).select("key", F.lit(2).alias("side"), "fp")
+    single = marked.where(F.col("all").isNull()).select("key", F.lit(2).alias("side"), *own_columns)
     mine = F.expr("filter(tiles, t -> t.bits = bit_count(fp))[0].k")
     met = marked.where(F.col("all").isNotNull()).withColumn("bits", F.bit_count("fp")).withColumn("no", F.pmod(F.xxhash64("fp"), mine).cast("int"))
-    met = met.select("key", "fp", "bits", "no", F.explode(F.expr(f"flatten(transform(filter(tiles, t -> abs(t.bits - bits) <= {radius}), t -> transform(sequence(0, t.k - 1), i -> struct(t.bits AS bits, i AS no))))")).alias("other"))
+    met = met.select("key", *own_columns, "bits", "no", F.explode(F.expr(f"flatten(transform(filter(tiles, t -> abs(t.bits - bits) <= {radius}), t -> transform(sequence(0, t.k - 1), i -> struct(t.bits AS bits, i AS no))))")).alias("other"))
     own, other = F.struct("bits", "no"), F.col("other")
-    tiled = met.select(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), "fp")
-    return compare(single.union(tiled), radius)
+    tiled = met.select(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), *own_columns)
+    return single.union(tiled)
 
 
 def simhash_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -219,56 +215,87 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, n), dtype=np.uint64))
 
 
+def band_keys(members: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key per band of a set of hashes: of its least values under `rows` mixings. All sets without members have the same."""
+    odd = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.full(len(odd), ~np.uint64(0))
+    for at in range(0, len(members), 4096):
+        mixed = members[at : at + 4096, None] ^ (odd >> np.uint64(7))
+        mixed *= odd
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= odd
+        np.minimum(least, mixed.min(axis=0), out=least)
+    keys = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(bands, rows).T:
+        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_hash, sid (a hash of the set of shingles), fp, size (of the set)."""
+    """doc_id, text_hash, sid (a hash of the set of shingles), fp, size (of the set), bands (its keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for part in slices(batch, "text"):
-                sids, fps, sizes = [], [], []
+                sids, fps, sizes, keys = [], [], [], []
                 for t in part.column("text").to_pylist():
                     hashes = shingle_hashes(t, n)
                     own = np.unique(np.array(hashes, dtype=np.uint64))
                     sids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     fps.append(majority(hashes))
                     sizes.append(len(own))
+                    keys.append(band_keys(own).view(np.int64))
                 signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sids, fps, sizes)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *signed], ["doc_id", "text_hash", "sid", "fp", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "sid", "fp", "size", "bands"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    return mapped(own, run, "doc_id long, text_hash long, sid long, fp long, size long")
-
-
-def wide_pairs(classes: DataFrame, radius: int, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
-    """a, b: all pairs of classes (sid, fp, size, comp) within radius, of different comp, whose sizes allow the similarity."""
-    k = max(WIDE_LEAST, -(-classes.count() // tile))
-    dealt = classes.withColumn("no", F.pmod(F.xxhash64("sid"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    dealt = dealt.select((F.least("no", "other") * k + F.greatest("no", "other")).alias("key"), (F.col("no") > F.col("other")).alias("side"), (F.col("no") == F.col("other")).alias("own"), "sid", "fp", "size", "comp")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("size")
-        sid, fp, size, comp = (group.column(c).to_numpy() for c in ("sid", "fp", "size", "comp"))
-        fp, side = fp.view(np.uint64), group.column("side").to_numpy()
-        same = bool(group.column("own")[0].as_py())
-        left, right = (np.arange(len(sid)),) * 2 if same else (np.nonzero(~side)[0], np.nonzero(side)[0])
-        of, out = size[right], [np.empty((0, 2), dtype=np.int64)]
-        for at in range(0, len(left), 128):
-            i = left[at : at + 128]
-            # wider by one than the similarity allows, against rounding
-            a, b = np.searchsorted(of, size[i[0]] * similarity - 1), np.searchsorted(of, size[i[-1]] / similarity + 1, side="right")
-            j = right[a:b]
-            x, y = np.nonzero(np.bitwise_count(fp[i][:, None] ^ fp[j][None, :]) <= radius)
-            x, y = i[x], j[y]
-            ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) + 1 >= similarity * np.maximum(size[x], size[y]))
-            if same:
-                ok &= x < y
-            out.append(np.stack([sid[x[ok]], sid[y[ok]]], axis=1))
-        both = np.concatenate(out)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    return dealt.groupBy("key").applyInArrow(run, "a long, b long")
+    return mapped(own, run, "doc_id long, text_hash long, sid long, fp long, size long, bands array<long>")
+
+
+def group_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of whole groups, whose rows lie together by the first column; several groups at once."""
+    held: list[dict[str, np.ndarray]] = []
+    key = columns[0]
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+        if not len(now[key]):
+            continue
+        new = np.nonzero(now[key] != now[key][-1])[0]
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if held and (cut or now[key][0] != held[0][key][-1]):
+            yield {c: np.concatenate([*(h[c] for h in held), now[c][:cut]]) for c in columns}
+            held = []
+        elif cut:
+            yield {c: x[:cut] for c, x in now.items()}
+        held.append({c: x[cut:] for c, x in now.items()})
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in columns}
+
+
+def open_pairs(tiles: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """a, b: pairs of sids of a group within radius, of different comp, whose sizes allow the similarity. tiles: key, side, fp, sid, size, comp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in group_runs(batches, ["key", "side", "fp", "sid", "size", "comp"]):
+            key, fp = found["key"], found["fp"].astype(np.int64).view(np.uint64)
+            starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            for s, e in zip(starts, np.concatenate([starts[1:], [len(key)]]), strict=True):
+                side, sid, size, comp = (found[c][s:e] for c in ("side", "sid", "size", "comp"))
+                same = side[0] == 2
+                left, right = (np.arange(e - s),) * 2 if same else (np.nonzero(side == 0)[0], np.nonzero(side == 1)[0])
+                for at in range(0, len(left), 512):
+                    i = left[at : at + 512]
+                    x, y = np.nonzero((np.bitwise_count(fp[s:e][i][:, None] ^ fp[s:e][right][None, :]) <= radius) & (comp[i][:, None] != comp[right][None, :]))
+                    x, y = i[x], right[y]
+                    # wider by one than the similarity allows, against rounding
+                    ok = np.minimum(size[x], size[y]) + 1 >= similarity * np.maximum(size[x], size[y])
+                    a, b = sid[x[ok]], sid[y[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return tiles.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -295,19 +322,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, sim
     return stored(mapped(met.select("a", "b", "mine", "other"), check, "a long, b long"))
 
 
-def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, text_hash, root (the class that names the component of near copies): a row per document."""
     rows = stored(sketches(docs, n))
-    classes = stored(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("text_hash").alias("text_hash")))
-    # the texts of a class have one set, but its hashes may repeat, so fp is the least of theirs
+    # the texts of a class have one set and one list of bands, but its hashes may repeat, so fp is the least of theirs
+    classes = stored(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands")))
     heads = stored(classes.groupBy("fp").agg(F.min("sid").alias("head")))
     near = links(heads.select("fp")).distinct()
     far = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = classes.join(heads, "fp").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    first = confirmed(far.union(equal), docs, classes, n, similarity)
+    # each class of a group with the group's least one
+    one = classes.select("sid", F.explode("bands").alias("key"))
+    least = stored(one.groupBy("key").agg(F.min("sid").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
+    grouped = stored(one.join(least, "key"))
+    star = grouped.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    first = confirmed(far.union(equal).union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, classes, n, similarity)
     joined = components(first)
     placed = stored(classes.join(joined, classes["sid"] == joined["node"], "left").select("sid", "fp", "size", F.coalesce("root", "sid").alias("comp")))
-    second = confirmed(wide_pairs(placed, radius, similarity), docs, classes, n, similarity)
+    # groups of several components
+    of = grouped.join(placed, "sid").select("key", "sid", "fp", "size", "comp")
+    still = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    second = confirmed(open_pairs(tiles_of(stored(of.join(still, "key", "left_semi")), radius, tile), radius, similarity), docs, classes, n, similarity)
     roots = components(first.union(second))
     return rows.join(roots, rows["sid"] == roots["node"], "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))
 
