@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, give_back, mapped, slices, stored
-from .wordcache import Ragged, WordCache
+from .wordcache import BLOCK, Ragged, WordCache, WordEncoder, byte_of_char
 
 SIDE_A, SIDE_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -48,27 +48,18 @@ BLOCKS = "stripe int, slice long, pairs binary"
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def byte_of_char() -> dict[str, int]:
-    """How byte-level vocabularies write bytes: printable ones as themselves, the others as the characters from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Sides:
     """The two vocabularies: how they encode, and each id's bytes."""
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a.decode("utf-8"))
-        self.a.encode_special_tokens = True
+        self.a = WordEncoder(a, specials_are_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         self.size_a, self.size_b = sizes(a, b)
         of = byte_of_char()
         self.bytes_a = [b""] * self.size_a
-        for token, i in self.a.get_vocab().items():
+        for token, i in self.a.tokenizer.get_vocab().items():
             self.bytes_a[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode("utf-8")
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode("utf-8") for i, p in enumerate(pieces)]
@@ -76,12 +67,12 @@ class Sides:
     def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both sides for texts that begin with a space; None where the bytes are not the text's."""
         out: list[tuple[list[int], list[int]] | None] = []
-        for at in range(0, len(parts), 5000):  # the libraries' results are large
-            some = parts[at : at + 5000]
-            for part, x, y in zip(some, self.a.encode_batch(some, add_special_tokens=False), self.b.encode([p[1:] for p in some], num_threads=1), strict=True):
+        for at in range(0, len(parts), BLOCK):
+            some = parts[at : at + BLOCK]
+            for part, x, y in zip(some, self.a.encode(some), self.b.encode([p[1:] for p in some], num_threads=1), strict=True):
                 raw = part.encode("utf-8")
-                same = b"".join([self.bytes_a[i] for i in x.ids]) == raw == b"".join([self.bytes_b[i] for i in y])
-                out.append((x.ids, y) if same else None)
+                same = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
+                out.append((x, y) if same else None)
         return out
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:

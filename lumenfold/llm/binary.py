@@ -15,7 +15,8 @@ left is in no manifest. `read_back` streams whole files; `lookup` opens only fil
 index and frames of the wanted documents alone. Both refuse a dictionary whose hash differs from the file's.
 
 A word between ASCII white space is encoded by the library once a worker: this vocabulary drops white space before it cuts
-words, so no token, special token or composed character reaches over it, and the ids are those of the whole text.
+words, so no token, special token or composed character reaches over it, and the ids are those of the whole text. Texts of Latin
+letters and ASCII are cut as the file says, and their parts go to the library's model alone (`wordcache.WordEncoder`).
 
 Rows: a null or empty text has the end id alone. Null ids come first; rows with one id are ordered by text hash, equal rows are
 alike. Extra columns are ignored. An empty table gives no file and an empty result. Without enough samples there is no dictionary.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, give_back, mapped, shared_dir, slices
-from .wordcache import Ragged, WordCache
+from .wordcache import Ragged, WordCache, WordEncoder
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 1
@@ -64,11 +65,9 @@ class Encoder:
     """Ids of texts, word by word, and the end id."""
 
     def __init__(self, vocabulary: bytes, end_id: int = END_ID):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
+        self.words = WordEncoder(vocabulary)
         self.end_id = end_id
-        size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
+        size = max(self.words.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.width = 2 if size <= 1 << 16 else 4
         self.cache = WordCache(self._add, self._forget)
         self._forget()
@@ -76,14 +75,18 @@ class Encoder:
     def _forget(self) -> None:
         self.ids = Ragged(np.uint32)
 
-    def _add(self, words: list[bytes]) -> None:
-        # in blocks, as the library's results are large
-        for at in range(0, len(words), 5000):
-            self.ids.extend([e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words[at : at + 5000]], add_special_tokens=False)])
+    def _add(self, words: list[str | bytes]) -> None:
+        rest = iter(self.words.encode([w.decode("utf-8") for w in words if isinstance(w, bytes)]))
+        self.ids.extend([next(rest) if isinstance(w, bytes) else self.words.part(w) for w in words])
+
+    def cut(self, text: str) -> list[str] | list[bytes]:
+        """Parts of a plain text, or else the words of another."""
+        parts = self.words.parts_of(text)
+        return text.encode("utf-8").split() if parts is None else parts
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        words = [(t or "").encode("utf-8").split() for t in texts]
+        words = [self.cut(t or "") for t in texts]
         places = self.cache.find(words)
         flat, sizes = self.ids.gather(places), self.ids.sizes[places]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
