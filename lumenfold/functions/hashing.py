@@ -26,26 +26,42 @@ def partial_hash(content: Column) -> Column:
     return F.coalesce(F.concat(n.cast("string"), F.lit("_"), F.md5(F.when(n < SMALL_FILE, content).otherwise(samples))), F.lit(""))
 
 
-def digests_of(path: str, size: int | None = None) -> tuple[str, str]:
-    """Partial and full digest of a file that is read in pieces; empty strings if it cannot be read."""
+def partial_at(path: str) -> tuple[str, str | None]:
+    """Partial digest of a file, and the full one if the file is small and so was read whole; empty strings if it cannot be read."""
     try:
         with open(path, "rb") as f:
             n = f.seek(0, 2)
             f.seek(0)
-            whole = hashlib.md5()
-            while part := f.read(READ):
-                whole.update(part)
             if n < SMALL_FILE:
-                return f"{n}_{whole.hexdigest()}", whole.hexdigest()
+                whole = hashlib.md5(f.read()).hexdigest()
+                return f"{n}_{whole}", whole
             some = hashlib.md5()
             for at in (0, n // 2, n - SAMPLE):
                 f.seek(at)
                 some.update(f.read(SAMPLE))
-            return f"{n}_{some.hexdigest()}", whole.hexdigest()
+            return f"{n}_{some.hexdigest()}", None
     except OSError:
         return "", ""
 
 
+def full_at(path: str) -> str:
+    """Digest of a whole file, read in pieces; empty if it cannot be read."""
+    try:
+        with open(path, "rb") as f:
+            whole = hashlib.md5()
+            while part := f.read(READ):
+                whole.update(part)
+            return whole.hexdigest()
+    except OSError:
+        return ""
+
+
+def digests_of(path: str) -> tuple[str, str]:
+    """Partial and full digest of a file."""
+    partial, full = partial_at(path)
+    return partial, full_at(path) if full is None else full
+
+
 def stream_hash(files: DataFrame) -> DataFrame:
     """files (path, ...) with partial and full digests read from the paths, for contents too large for a column."""
 

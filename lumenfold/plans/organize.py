@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import names as N
 from ..model import BLURRY, DUPLICATES, LIVE, NO_DATE, SCREENSHOTS, SKIPPED_DEST, SKIPPED_SOURCE, TAG_BLUR, TAG_DUPLICATE, TAG_SCREENSHOT, TAG_SORT, Options
+from ..operators.content import Reader, content_marks
 from ..operators.dates import resolve
 from ..operators.dedup import destination_duplicates, source_duplicates_tiered
 from ..operators.history import resumed
@@ -24,7 +25,9 @@ class Catalog:
 
     files: path, length, mtime. digests: path, partial, full. dst: path, length (and partial, full if existing
     files are skipped). history: src, mtime, size, dest. sidecars: path, body. exif: path and its fields.
-    sharpness: path, score. locations: path, location.
+    sharpness: path, score. locations: path, location. reader: reads contents where sizes meet, in place of digests.
+    filed: path, length of targets given earlier in the same run, there or not. seen: path, length of files that were filed then, at
+    the path where their bytes are now.
     """
 
     files: DataFrame
@@ -35,6 +38,14 @@ class Catalog:
     exif: DataFrame | None = None
     sharpness: DataFrame | None = None
     locations: DataFrame | None = None
+    reader: Reader | None = None
+    filed: DataFrame | None = None
+    seen: DataFrame | None = None
+
+    def targets(self) -> DataFrame | None:
+        """path of what the destination holds or will hold."""
+        held = [x.select("path") for x in (self.dst, self.filed) if x is not None]
+        return held[0].unionByName(held[1]) if len(held) == 2 else held[0] if held else None
 
 
 def _flag(df: DataFrame, name: str) -> DataFrame:
@@ -54,24 +65,18 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
         root, source = (F.concat(N.normalised(F.lit(at or "")), F.lit("/")) for at in (options.dst_root, options.src_root))
         files = files.where(F.startswith(source, root) | ~F.startswith(N.normalised(F.col("path")), root))
     if options.resume_enabled and catalog.history is not None:
-        there = catalog.dst if catalog.dst is not None else F.lit(False)
-        files = resumed(files, catalog.history, there, options.strict_parity)
+        there = catalog.targets()
+        files = resumed(files, catalog.history, there if there is not None else F.lit(False), options.strict_parity)
     else:
         files = _flag(files, "is_resumed")
     files = files.withColumns({"is_junk": N.is_junk(F.col("ext")), "is_screenshot": N.is_screenshot(F.col("name"))})
     files = stored(files)
     media = files.where(~F.col("is_resumed") & ~F.col("is_junk") & ~F.col("is_screenshot") & F.col("media").isNotNull()).select("path", "length")
 
-    # copies: of the destination first, and those left among each other
-    marks = media.withColumn("in_dst", F.lit(False))
-    if options.skip_existing and catalog.dst is not None and catalog.digests is not None and "full" in catalog.dst.columns:
-        there = media.join(catalog.digests.select("path", "partial", "full"), "path", "left")
-        marks = destination_duplicates(there, catalog.dst, ["partial", "full"], options.strict_parity).select("path", "length", "in_dst")
-    if catalog.digests is not None:
-        own = source_duplicates_tiered(marks.where(~F.col("in_dst")).select("path", "length"), catalog.digests, "path", options.strict_parity).select("path", F.lit(False).alias("in_dst"), "is_dup")
-        marks = own.unionByName(marks.where("in_dst").select("path", "in_dst", F.lit(False).alias("is_dup")))
+    if catalog.reader is not None:
+        marks = content_marks(media, catalog.dst if options.skip_existing else None, catalog.reader, catalog.seen, options.strict_parity)
     else:
-        marks = marks.select("path", "in_dst", F.lit(False).alias("is_dup"))
+        marks = _marks(media, catalog, options)
     files = stored(files.join(marks, "path", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_dst", "is_dup")}))
 
     if options.blur_check_enabled and catalog.sharpness is not None:
@@ -106,11 +111,23 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
     return with_targets(stored(files), catalog, options)
 
 
+def _marks(media: DataFrame, catalog: Catalog, options: Options) -> DataFrame:
+    """path, in_dst, is_dup from a table of digests: copies of the destination first, and those left among each other."""
+    marks = media.withColumn("in_dst", F.lit(False))
+    if options.skip_existing and catalog.dst is not None and catalog.digests is not None and "full" in catalog.dst.columns:
+        there = media.join(catalog.digests.select("path", "partial", "full"), "path", "left")
+        marks = destination_duplicates(there, catalog.dst, ["partial", "full"], options.strict_parity).select("path", "length", "in_dst")
+    if catalog.digests is None:
+        return marks.select("path", "in_dst", F.lit(False).alias("is_dup"))
+    own = source_duplicates_tiered(marks.where(~F.col("in_dst")).select("path", "length"), catalog.digests, "path", options.strict_parity).select("path", F.lit(False).alias("in_dst"), "is_dup")
+    return own.unionByName(marks.where("in_dst").select("path", "in_dst", F.lit(False).alias("is_dup")))
+
+
 def with_targets(files: DataFrame, catalog: Catalog, options: Options) -> DataFrame:
     """files with dest: the target path of those that are filed."""
     filed = files.where(F.col("outcome") == "filed")
     numbered = F.lit(options.rename_enabled) & (F.col("route") == "dated") & ~F.col("is_live")
-    existing = catalog.dst.select("path") if catalog.dst is not None else None
+    existing = catalog.targets()
     names = unique_names(filed.where(~numbered).select("path", "target_dir", "name"), existing).select("path", "target_dir", "target_name")
     if options.rename_enabled:
         own = filed.where(numbered).select("path", "target_dir", "ext", D.day_prefix(F.col("date")).alias("prefix"))

@@ -8,9 +8,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import is_junk, with_name_parts
 from ..model import HISTORY, Options
+from ..operators.content import by_path
 from ..operators.history import upsert
 from ..operators.report import preview, run_stats
+from ..operators.store import stored
 from ..sources import readers, sinks
 from ..sources.walkfs import scan
 from .organize import Catalog, history_updates, routed
@@ -22,17 +25,14 @@ def catalog(spark: SparkSession, options: Options, history_path: str | None = No
     """The tables of a run, read from its folders. Contents are read only where an option needs them."""
     from ..operators.geo import locations
 
-    files = scan(spark, options.src_root).cache()
-    dst = scan(spark, options.dst_root).where(F.col("length").isNotNull()).cache() if os.path.isdir(options.dst_root) else None
-    if dst is not None and options.skip_existing:
-        sizes = files.select(F.col("length").alias("__length")).distinct()
-        hashed = readers.digests(dst.join(sizes, F.col("length") == F.col("__length"), "left_semi"))
-        dst = dst.join(hashed, "path", "left").cache()
-    exif = readers.exif(files).cache()
+    files = scan(spark, options.src_root)
+    dst = scan(spark, options.dst_root).where(F.col("length").isNotNull()) if os.path.isdir(options.dst_root) else None
+    files, dst = stored(files), stored(dst) if dst is not None else None  # as they are before files move
+    exif = stored(readers.exif(with_name_parts(files).where(~is_junk(F.col("ext")) & F.coalesce(F.col("media") != "video", F.lit(True)))))
     places = locations(exif, cells, gazetteer) if options.gps_enabled and (cells is not None or gazetteer is not None) else None
     return Catalog(
         files=files,
-        digests=readers.digests(files),
+        reader=by_path(),
         dst=dst,
         history=readers.history(spark, history_path) if history_path else spark.createDataFrame([], HISTORY),
         sidecars=readers.sidecars(spark, options.src_root),
@@ -47,28 +47,22 @@ def run(spark: SparkSession, options: Options, history_path: str | None = None,
     if not os.path.isdir(options.src_root):
         raise ValueError("the source must be a folder")
     tables = catalog(spark, options, history_path, gazetteer, cells)
-    plan = routed(tables, options).cache()
-    try:
-        if plan.isEmpty():
-            log.warning("no files found")
-            return run_stats(plan).first().asDict()
-        if options.dry_run:
-            if report_path:
-                sinks.write_preview(preview(plan, options.mode), report_path)
-            return run_stats(plan).first().asDict()
-        updates = history_updates(plan, options).cache()
-        updates.count()  # before files move
-        done = sinks.transfer(plan, options.mode).cache()
-        failed = done.where(F.col("error").isNotNull()).select(F.col("path").alias("__path"), F.col("error").alias("__error")).cache()
-        after = plan.join(failed, F.col("path") == F.col("__path"), "left").withColumns({"error": F.col("__error"), "outcome": F.when(F.col("__error").isNull(), F.col("outcome")).otherwise("failed")})
-        stats = run_stats(after).first().asDict()
-        if history_path and options.resume_enabled:
-            kept = updates.join(failed, F.col("src") == F.col("__path"), "left_anti")
-            new = upsert(tables.history, kept).cache()
-            new.count()
-            sinks.write_history(new, history_path)
-        if options.mode == "move" and options.clean_empty:
-            sinks.remove_empty_dirs(options.src_root)
-        return stats
-    finally:
-        spark.catalog.clearCache()
+    plan = stored(routed(tables, options))
+    if plan.isEmpty():
+        log.warning("no files found")
+        return run_stats(plan).first().asDict()
+    if options.dry_run:
+        if report_path:
+            sinks.write_preview(preview(plan, options.mode), report_path)
+        return run_stats(plan).first().asDict()
+    updates = history_updates(plan, options)
+    done = stored(sinks.transfer(plan, options.mode))  # files move here, once
+    failed = done.where(F.col("error").isNotNull()).select(F.col("path").alias("__path"), F.col("error").alias("__error"))
+    after = plan.join(failed, F.col("path") == F.col("__path"), "left").withColumns({"error": F.col("__error"), "outcome": F.when(F.col("__error").isNull(), F.col("outcome")).otherwise("failed")})
+    stats = run_stats(after).first().asDict()
+    if history_path and options.resume_enabled:
+        kept = updates.join(failed, F.col("src") == F.col("__path"), "left_anti")
+        sinks.write_history(stored(upsert(tables.history, kept)), history_path)
+    if options.mode == "move" and options.clean_empty:
+        sinks.remove_empty_dirs(options.src_root)
+    return stats

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import filecmp
 import json
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,21 +16,50 @@ from pyspark.sql import functions as F
 from ..model import PREVIEW
 
 
+def _same(a: str, b: str) -> bool:
+    """Whether b is a copy of a: size, time and contents."""
+    x, y = os.stat(a), os.stat(b)
+    return x.st_size == y.st_size and abs(x.st_mtime - y.st_mtime) < 0.001 and filecmp.cmp(a, b, shallow=False)
+
+
+def _name(at: str, dst: str) -> None:
+    """Gives a file another name, if none has it."""
+    try:
+        os.link(at, dst)
+    except FileExistsError:
+        raise
+    except OSError:  # a file system without links
+        os.close(os.open(dst, os.O_CREAT | os.O_EXCL))
+        os.replace(at, dst)
+
+
 def _place(src: str, dst: str, mode: str) -> str | None:
-    """Brings one file to its target; the error as text. A repeat of a finished step does nothing."""
+    """Brings one file to its target; the error as text. Nothing that is there is replaced; a repeat of a finished step does nothing.
+
+    The bytes come to a file of their own beside the target, which then gets the target's name only if none has it yet.
+    """
+    part = f"{dst}.part-{uuid.uuid4().hex}"
     try:
         os.makedirs(os.path.dirname(dst), exist_ok=True)
-        if mode == "move":
-            if not os.path.exists(src) and os.path.exists(dst):
-                return None
-            shutil.move(src, dst)
-            return None
-        part = f"{dst}.part-{os.getpid()}"
-        shutil.copy2(src, part)
-        os.replace(part, dst)
+        if not os.path.exists(src):
+            return None if mode == "move" and os.path.exists(dst) else f"{src} is gone"
+        bytes_at = src
+        if mode == "copy" or os.stat(src).st_dev != os.stat(os.path.dirname(dst)).st_dev:
+            bytes_at = part
+            shutil.copy2(src, part)
+        try:
+            _name(bytes_at, dst)
+        except FileExistsError:
+            if not _same(src, dst):
+                return f"{dst} exists"
+        if mode == "move" and os.path.exists(src):
+            os.remove(src)
         return None
     except OSError as e:
         return str(e)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
 
 
 def transfer(plan: DataFrame, mode: str) -> DataFrame:

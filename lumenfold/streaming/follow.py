@@ -10,28 +10,36 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import FILES, HISTORY, Options
 from ..operators.history import upsert
+from ..operators.store import stored
 from ..plans.organize import Catalog, history_updates, routed
 
 
+#: What a batch leaves for later ones.
+PLANNED = "path string, length bigint, route string, outcome string, tag string, dest string, batch int"
+
+
 def follow(spark: SparkSession, inventories: str, out: str, history: str, checkpoint: str, options: Options, tables: Catalog | None = None) -> StreamingQuery:
     """Plans each new batch of Parquet inventories (path, length, mtime) and adds it to `out`.
 
-    The history is a folder of Parquet versions, one per batch, so a repeated batch reads the same state and
-    replaces its own rows: results are exactly once.
+    The state is what earlier batches left: their rows in `out`, and the history, a folder of Parquet versions, one per batch. A batch
+    sees only rows and the version of batches before it, so one that is repeated reads the same state and replaces its own rows:
+    results are exactly once. Targets that earlier batches gave are taken, their sequence numbers go on, and files that were filed stand
+    for their contents: with a reader in `tables`, a later copy is a duplicate. Batches whose paths follow each other are
+    planned as one batch of all would be. A missing version is an error, as files would be filed again without it.
     """
     stream = spark.readStream.schema(FILES).parquet(inventories)
+    base = tables or Catalog(files=spark.createDataFrame([], FILES))
 
     def one(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        try:
-            before = session.read.schema(HISTORY).parquet(f"{history}/version={number - 1}") if number else session.createDataFrame([], HISTORY)
-        except Exception as e:  # the version of a batch without rows was not written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = session.createDataFrame([], HISTORY)
-        base = tables or Catalog(files=batch)
-        plan = routed(replace(base, files=batch, history=before), options)
-        plan.select("path", "route", "outcome", "tag", "dest").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        before = session.read.schema(HISTORY).parquet(f"{history}/version={number - 1}") if number else session.createDataFrame([], HISTORY)
+        earlier = [f"{out}/batch={k}" for k in range(number)]
+        done = session.read.schema(PLANNED).option("basePath", out).parquet(*earlier) if earlier else session.createDataFrame([], PLANNED)
+        filed = done.where("outcome = 'filed'")
+        firsts = filed.where("route NOT IN ('screenshot', 'duplicate')").select(F.col("dest" if options.mode == "move" else "path").alias("path"), "length")
+        state = replace(base, files=batch, history=before, filed=filed.select(F.col("dest").alias("path"), "length"), seen=firsts)
+        plan = stored(routed(state, options))
+        plan.select("path", "length", "route", "outcome", "tag", "dest").write.mode("overwrite").parquet(f"{out}/batch={number}")
         upsert(before, history_updates(plan, options)).write.mode("overwrite").parquet(f"{history}/version={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
