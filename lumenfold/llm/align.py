@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, give_back, mapped, slices, stored
-from .wordcache import BLOCK, Ragged, WordCache, WordEncoder, byte_of_char
+from .wordcache import BLOCK, Ragged, WordCache, WordEncoder, byte_of_char, flattened
 
 SIDE_A, SIDE_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -64,21 +64,21 @@ class Sides:
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode("utf-8") for i, p in enumerate(pieces)]
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both sides for texts that begin with a space; None where the bytes are not the text's."""
-        out: list[tuple[list[int], list[int]] | None] = []
-        for at in range(0, len(parts), BLOCK):
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides for texts that begin with a space."""
+        a, b = [], []
+        for at in range(0, len(parts), BLOCK):  # the libraries' results are large
             some = parts[at : at + BLOCK]
-            for part, x, y in zip(some, self.a.encode(some), self.b.encode([p[1:] for p in some], num_threads=1), strict=True):
-                raw = part.encode("utf-8")
-                same = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-                out.append((x, y) if same else None)
-        return out
-
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """The groups of two encodings of the same bytes, and their links in order."""
+            a += self.a.encode(some)
+            b += self.b.encode([p[1:] for p in some], num_threads=1)
+        return a, b
+
+    def written(self, ids: list[int], table: list[bytes]) -> bytes:
+        return b"".join(map(table.__getitem__, ids))
+
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
+        """The groups of two encodings of the same bytes."""
         groups: list[tuple[list[int], list[int]]] = []
-        links: list[tuple[int, int]] = []
         own: tuple[list[int], list[int]] = ([], [])
         i = j = end_a = end_b = 0
         while i < len(a) or j < len(b):
@@ -91,11 +91,10 @@ class Sides:
                 end_b += len(self.bytes_b[b[j]])
                 own[1].append(b[j])
                 j += 1
-            links.append((a[i - 1], b[j - 1]))
             if end_a == end_b:
                 groups.append(own)
                 own = ([], [])
-        return groups, links
+        return groups
 
 
 def sizes(a: bytes, b: bytes) -> tuple[int, int]:
@@ -107,10 +106,6 @@ def sizes(a: bytes, b: bytes) -> tuple[int, int]:
     return max(ids) + 1, sentencepiece.SentencePieceProcessor(model_proto=b).get_piece_size()
 
 
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-
-
 def parts_of(text: str) -> list[str]:
     """A text with a space before it, cut before each space that has no white space beside it."""
     text = " " + text
@@ -124,26 +119,43 @@ class Linker:
 
     def __init__(self, a: bytes, b: bytes):
         self.sides = Sides(a, b)
+        self.length_a, self.length_b = (np.fromiter(map(len, t), dtype=np.int64, count=len(t)) for t in (self.sides.bytes_a, self.sides.bytes_b))
+        # ids as they are written: within a group, at its end on a side, and at a part's end
+        self.ids = [b"%d%c" % (i, c) for n, marks in ((self.sides.size_a, b",|"), (self.sides.size_b, b",;\n")) for i in range(n) for c in marks]
         self.cache = WordCache(self._add, self._forget)
         self._forget()
 
     def _forget(self) -> None:
         self.links, self.counts, self.shown = Ragged(np.int64), np.empty((0, 4), dtype=np.int64), []
 
+    def _whole(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether both sides' bytes are those of each part."""
+        sides = self.sides
+        for ids, table, of in ((a, sides.bytes_a, self.length_a), (b, sides.bytes_b, self.length_b)):
+            flat, sizes = flattened(ids)
+            ends = np.concatenate([[0], np.cumsum(of[flat])])[np.cumsum(sizes)]
+            if not np.array_equal(ends, np.cumsum([len(r) for r in raw])) or sides.written(flat.tolist(), table) != b"".join(raw):
+                return np.array([sides.written(x, sides.bytes_a) == r == sides.written(y, sides.bytes_b) for r, x, y in zip(raw, a, b, strict=True)], dtype=bool)
+        return np.ones(len(raw), dtype=bool)
+
     def _add(self, parts: list[str]) -> None:
-        counts, links = [], []
-        for found in self.sides.encode(parts):
-            if found is None:
-                counts.append((0, 0, 0, 0))
-                links.append([])
-                self.shown.append(b"")
-                continue
-            groups, pairs = self.sides.groups(*found)
-            counts.append((len(found[0]), len(found[1]), len(groups), 1))
-            links.append([y * self.sides.size_a + x for x, y in pairs])
-            self.shown.append(written(groups).encode())
-        self.links.extend(links)
-        self.counts = np.concatenate([self.counts, np.array(counts, dtype=np.int64)])
+        raw = [p.encode("utf-8") for p in parts]
+        rows_a, rows_b = self.sides.encode(parts)
+        whole = self._whole(raw, rows_a, rows_b)
+        (a, n_a), (b, n_b) = flattened([r if w else [] for r, w in zip(rows_a, whole, strict=True)]), flattened([r if w else [] for r, w in zip(rows_b, whole, strict=True)])
+        part_ends = np.cumsum([len(r) if w else 0 for r, w in zip(raw, whole, strict=True)])
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        per_part = lambda ends: np.bincount(np.searchsorted(part_ends, ends), minlength=len(parts))
+        # each stretch between neighbouring ends is a link, each end of both sides ends a group
+        every, both = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        self.links.append(b[np.searchsorted(ends_b, every)] * self.sides.size_a + a[np.searchsorted(ends_a, every)], per_part(every))
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, per_part(both), whole], axis=1)])
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        last_b = (both[group_b] == ends_b).astype(np.int64) + np.isin(ends_b, part_ends)
+        codes = np.concatenate([2 * a + (both[group_a] == ends_a), 2 * self.sides.size_a + 3 * b + last_b])[order]
+        found = iter(self.sides.written(codes.tolist(), self.ids).split(b"\n"))
+        self.shown += [next(found) if w else b"" for w in whole]
 
     def slice(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text (tokens of A, of B, groups), links and digest; then the places of texts, and b * size_a + a, of all links."""
@@ -375,14 +387,17 @@ def aligned(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
     tables = _files(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = linker(*tables).sides
+        made = linker(*tables)
+        sides = made.sides
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for text in part.column("text").to_pylist():
-                    found = sides.encode(parts_of(text)) if text else []
-                    rows.append([{"a": x, "b": y} for f in found for x, y in sides.groups(*f)[0]] if None not in found else [])
+                    parts = parts_of(text) if text else []
+                    a, b = sides.encode(parts)
+                    whole = made._whole([p.encode("utf-8") for p in parts], a, b).all()
+                    rows.append([{"a": x, "b": y} for f in zip(a, b, strict=True) for x, y in sides.groups(*f)] if whole else [])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "groups"])
 
     return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, groups array<struct<a: array<int>, b: array<int>>>")

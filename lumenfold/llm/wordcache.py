@@ -11,6 +11,12 @@ from itertools import chain
 import numpy as np
 
 
+def flattened(rows: list[list[int]], dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """All rows, one after the other, and their lengths."""
+    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    return np.fromiter(chain.from_iterable(rows), dtype=dtype, count=int(sizes.sum())), sizes
+
+
 class Ragged:
     """Arrays of different lengths, one after the other: row i is flat[starts[i]:starts[i + 1]]."""
 
@@ -18,8 +24,10 @@ class Ragged:
         self.flat, self.sizes, self.starts = np.empty(0, dtype=dtype), np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def extend(self, rows: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), dtype=self.flat.dtype, count=int(sizes.sum()))])
+        self.append(*flattened(rows, self.flat.dtype))
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
