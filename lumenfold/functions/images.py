@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mmap
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,84 @@ from pyspark.sql import functions as F
 #: Tags of the fields that are read.
 SUB_IFD, GPS_IFD = 34665, 34853
 ORIGINAL, DIGITIZED, CHANGED = 36867, 36868, 306
+_WANTED = {SUB_IFD, GPS_IFD, ORIGINAL, DIGITIZED, CHANGED, 1, 2, 3, 4}
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 EXIF = "sub_original string, sub_digitized string, sub_changed string, original string, changed string, lat_ref string, lat array<double>, lon_ref string, lon array<double>"
 
 
+def boxes(data: bytes | mmap.mmap, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Kind, begin and end of the contents of the boxes of an ISO media file between two places."""
+    while at + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, at)
+        head = 8
+        if size == 1:
+            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+        elif size == 0:
+            size = end - at
+        if size < head:
+            return
+        yield kind, at + head, min(at + size, end)
+        at += size
+
+
+def _number(data: bytes | mmap.mmap, at: int, size: int) -> int:
+    return int.from_bytes(data[at : at + size], "big")
+
+
+def exif_item(data: bytes | mmap.mmap, at: int, end: int) -> int | None:
+    """The id of the item of type Exif, of an item information box."""
+    version = data[at]
+    for kind, a, b in boxes(data, at + (6 if version == 0 else 8), end):
+        if kind == b"infe" and data[a] >= 2:
+            width = 2 if data[a] == 2 else 4
+            if data[a + 4 + width + 2 : min(b, a + 4 + width + 6)] == b"Exif":
+                return _number(data, a + 4, width)
+    return None
+
+
+def item_extents(data: bytes | mmap.mmap, at: int, item: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """How an item is stored (0: in the file, 1: in the item data box), and begin and length of its extents, of an item location box."""
+    version = data[at]
+    offset, length, base, index = data[at + 4] >> 4, data[at + 4] & 15, data[at + 5] >> 4, data[at + 5] & 15 if version else 0
+    wide = 4 if version == 2 else 2
+    n, at = _number(data, at + 6, wide), at + 6 + wide
+    for _ in range(n):
+        own, at = _number(data, at, wide), at + wide
+        method = 0
+        if version:
+            method, at = _number(data, at, 2) & 15, at + 2
+        start, count = _number(data, at + 2, base), _number(data, at + 2 + base, 2)
+        at += 4 + base
+        extents = []
+        for _ in range(count):
+            at += index
+            extents.append((start + _number(data, at, offset), _number(data, at + offset, length)))
+            at += offset + length
+        if own == item:
+            return method, extents
+    return None
+
+
+def heif_block(data: bytes | mmap.mmap) -> bytes | None:
+    """The TIFF structure of a HEIC file: the bytes of its Exif item, in the file or in the item data box."""
+    for kind, at, end in boxes(data, 0, len(data)):
+        if kind != b"meta":
+            continue
+        inner = {k: (a, b) for k, a, b in boxes(data, at + 4, end)}
+        item = exif_item(data, *inner[b"iinf"]) if b"iinf" in inner else None
+        found = item_extents(data, inner[b"iloc"][0], item) if item is not None and b"iloc" in inner else None
+        if found is None or found[0] > 1 or (found[0] == 1 and b"idat" not in inner):
+            return None
+        low, high = (0, len(data)) if found[0] == 0 else inner[b"idat"]
+        body = b"".join(data[low + a : min(low + a + n, high) if n else high] for a, n in found[1])
+        return body[4 + struct.unpack_from(">I", body, 0)[0] :]
+    return None
+
+
 def tiff_block(data: bytes | mmap.mmap) -> bytes | mmap.mmap | None:
-    """The TIFF structure in a JPEG, PNG, WebP or TIFF file. (HEIC files are not read.)"""
+    """The TIFF structure in a JPEG, PNG, WebP, HEIC or TIFF file."""
+    if data[4:8] == b"ftyp":
+        return heif_block(data)
     if data[:4] in (b"II*\0", b"MM\0*"):
         return data
     if data[:2] == b"\xff\xd8":
@@ -53,7 +126,7 @@ def directory(block: bytes | mmap.mmap, at: int, order: str) -> dict[int, object
     out: dict[int, object] = {}
     for i in range(struct.unpack_from(order + "H", block, at)[0]):
         tag, kind, count = struct.unpack_from(order + "HHI", block, at + 2 + 12 * i)
-        if kind not in _SIZES or count > 65536:
+        if tag not in _WANTED or kind not in _SIZES:
             continue
         size = _SIZES[kind] * count
         place = at + 10 + 12 * i

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-
-#: Rows of a gazetteer that a worker may hold; more is an error.
-MAX_PLACES = 500_000
+from .store import stored
 
 
 def coordinates(exif: DataFrame) -> DataFrame:
@@ -25,33 +23,41 @@ def cached_labels(points: DataFrame, cells: DataFrame) -> DataFrame:
     return points.join(known, (F.round("lat", 3) == F.col("__lat")) & (F.round("lon", 3) == F.col("__lon")), "left").drop("__lat", "__lon")
 
 
+def _on_sphere(rows: DataFrame, prefix: str) -> DataFrame:
+    """rows (lat, lon) with their place on the unit sphere: no edge at the poles or the date line."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return rows.withColumns({f"{prefix}x": F.cos(lat) * F.cos(lon), f"{prefix}y": F.cos(lat) * F.sin(lon), f"{prefix}z": F.sin(lat)})
+
+
 def nearest(points: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """points (lat, lon) with cc and place of the nearest row of the gazetteer (lat, lon, cc, name); the first by name of equals.
 
-    Each distinct cell is looked up once, in blocks, against the gazetteer's arrays.
+    Space is cut into cubes of a side that holds a few places on average, and each distinct point meets the places of its cube and the
+    26 around it, by an equi-join. A place found within one side is proven the nearest, as all places within that distance lie in these
+    cubes. Points without such a place are sought again with a side four times as large, until cubes hold the whole sphere. Neither
+    table is held by the driver or a task.
     """
-    places = gazetteer.orderBy("name", "cc", "lat", "lon").limit(MAX_PLACES + 1).toPandas()
-    if len(places) > MAX_PLACES:
-        raise ValueError(f"over {MAX_PLACES} places")
-    names, ccs = places["name"].to_numpy(), places["cc"].to_numpy()
-
-    def unit(lat, lon) -> np.ndarray:
-        lat, lon = np.radians(np.asarray(lat, dtype=float)), np.radians(np.asarray(lon, dtype=float))
-        return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
-
-    table = unit(places["lat"], places["lon"])
-
-    @F.pandas_udf("cc string, place string")
-    def lookup(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
-        out = np.full(len(lat), -1)
-        ok = np.nonzero((lat.notna() & lon.notna()).to_numpy())[0] if len(table) else np.empty(0, dtype=int)
-        step = max(1, 4_000_000 // max(1, len(table)))
-        for a in range(0, len(ok), step):
-            at = ok[a : a + step]
-            out[at] = np.argmax(unit(lat.iloc[at], lon.iloc[at]) @ table.T, axis=1)
-        return pd.DataFrame({"cc": [ccs[i] if i >= 0 else None for i in out], "place": [names[i] if i >= 0 else None for i in out]})
-
-    return points.withColumn("__near", lookup("lat", "lon")).select("*", "__near.cc", "__near.place").drop("__near")
+    places = stored(_on_sphere(gazetteer.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon", "cc", "name"), "p"))
+    rest = stored(_on_sphere(points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct(), "q"))
+    n = places.count()
+    side = 2.0 ** min(1, max(-20, math.ceil(math.log2(2 * math.sqrt(4 * math.pi / n))))) if n else 2.0
+    cube = lambda c: F.floor(F.col(c) / side)
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    found = None
+    while n and not rest.isEmpty():
+        held = places.select(*[cube(f"p{c}").alias(f"c{c}") for c in "xyz"], "px", "py", "pz", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "cc", "name")
+        asked = rest
+        for c in "xyz":
+            asked = asked.withColumn("__step", F.explode(steps)).withColumn(f"c{c}", cube(f"q{c}") + F.col("__step")).drop("__step")
+        apart = sum((F.pow(F.col(f"q{c}") - F.col(f"p{c}"), 2) for c in "xyz"), F.lit(0.0))
+        best = asked.join(held, ["cx", "cy", "cz"]).groupBy("lat", "lon").agg(F.min(F.struct(apart.alias("d"), "name", "cc", "__lat", "__lon")).alias("best"))
+        done = stored(best.where((F.sqrt("best.d") <= side) | F.lit(side >= 2)).select(F.col("lat").alias("__qlat"), F.col("lon").alias("__qlon"), "best.cc", F.col("best.name").alias("place")))
+        found = done if found is None else found.unionByName(done)
+        rest = stored(rest.join(done, (F.col("lat") == F.col("__qlat")) & (F.col("lon") == F.col("__qlon")), "left_anti"))
+        side *= 4
+    if found is None:
+        return points.withColumns({"cc": F.lit(None).cast("string"), "place": F.lit(None).cast("string")})
+    return points.join(found, (F.col("lat") == F.col("__qlat")) & (F.col("lon") == F.col("__qlon")), "left").drop("__qlat", "__qlon")
 
 
 def locations(exif: DataFrame, cells: DataFrame | None = None, gazetteer: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.names import base_name, dir_name, raw_extension
 from .ranking import position
@@ -52,12 +53,32 @@ def assign(names: list[str], bases: list[str], exts: list[str], taken: set[str])
     return out
 
 
+def free_numbers(rows: DataFrame, head: list[str], block: int = 1024) -> DataFrame:
+    """head, __k, __number: the k-th number, for each new row of a group, that no existing name has; 0 stands for the name itself.
+
+    rows: head columns, base, is_old. Numbers are counted by blocks: what exists in a block, then what blocks before it leave free. A
+    group makes as many numbers as it has rows, in any task, and only one row for a block of them meets the other blocks.
+    """
+    tail = F.substring("base", F.char_length("head") + 2, F.char_length("base"))
+    number = F.when(F.col("base") == F.col("head"), F.lit(0)).when(tail.rlike(r"^[1-9]\d{0,17}$"), tail.try_cast("bigint"))
+    sizes = rows.groupBy(*head).agg(F.count("*").alias("__n"), F.count_if(~F.col("is_old")).alias("__new"))
+    held = rows.where("is_old").withColumn("__number", number).where(F.col("__number").isNotNull())
+    held = held.groupBy(*head, F.expr(f"__number div {block}").alias("__block")).agg(F.collect_set((F.col("__number") % block).cast("int")).alias("__held"))  # block values at most
+    blocks = sizes.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__n - 1) div {block}"))))
+    every = F.sequence(F.lit(0), F.least(F.lit(block - 1).cast("bigint"), F.col("__n") - 1 - F.col("__block") * block).cast("int"))
+    left = blocks.join(held, [*head, "__block"], "left").withColumn("__free", F.array_except(every, F.coalesce("__held", F.array().cast("array<int>"))))
+    before = F.coalesce(F.sum(F.size("__free")).over(Window.partitionBy(*head).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = left.withColumn("__before", before).select(*head, "__new", "__block", "__before", F.posexplode("__free").alias("__pos", "__of"))
+    return out.select(*head, (F.col("__before") + F.col("__pos") + 1).alias("__k"), (F.col("__block") * block + F.col("__of")).alias("__number"), "__new").where("__k <= __new").drop("__new")
+
+
 def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """rows (path, target_dir, name) with target_name, free in the directory and different for all rows.
 
     Names interact only with names that add _number to them. A name that occurs twice or exists heads a
-    group with all names that add to it; the others stay. A group of one repeated name is numbered by
-    aggregation; groups in which names could meet run the exact loop, in path order.
+    group with all names that add to it; the others stay. A group of one repeated name is numbered by its
+    rows' positions, past the numbers that exist (`free_numbers`), over as many tasks as it needs; groups in
+    which new names could meet each other's numbers run the exact loop, in path order.
     """
     key = ["target_dir", "base", "raw_ext"]
     own = rows.withColumn("raw_ext", raw_extension(F.col("name")))
@@ -76,15 +97,18 @@ def unique_names(rows: DataFrame, existing: DataFrame | None = None) -> DataFram
     met = exploded.join(heads, (F.col("target_dir") == F.col("__dir")) & (F.col("raw_ext") == F.col("__ext")) & (F.col("__way") == F.col("__base")))
     grouped = stored(met.groupBy("path", "name", *key, "is_old").agg(F.min_by("__way", F.char_length("__way")).alias("head")))
     head = ["target_dir", "head", "raw_ext"]
-    kinds = grouped.groupBy(*head).agg((F.min("base") != F.max("base")).alias("mixed"), F.bool_or("is_old").alias("old"))
+    kinds = grouped.groupBy(*head).agg(F.bool_or(~F.col("is_old") & (F.col("base") != F.col("head"))).alias("mixed"), F.bool_or("is_old").alias("old"))
     marked = grouped.join(kinds, head)
-    plain = position(marked.where(~(F.col("mixed") | F.col("old"))).withColumn("__from", dir_name(F.col("path"))), head, "__from", ["path"], "__k")
-    plain = plain.select("path", F.when(F.col("__k") == 1, F.col("name")).otherwise(F.concat("base", F.lit("_"), (F.col("__k") - 1).cast("string"), "raw_ext")).alias("target_name"))
+    one = position(marked.where(~F.col("is_old") & ~F.col("mixed")).withColumn("__from", dir_name(F.col("path"))), head, "__from", ["path"], "__k")
+    free = free_numbers(marked.where(~F.col("mixed") & F.col("old")), head)
+    numbered = one.where(~F.col("old")).select("path", "name", "base", "raw_ext", (F.col("__k") - 1).alias("__number"))
+    numbered = numbered.unionByName(one.where("old").join(free, [*head, "__k"]).select("path", "name", "base", "raw_ext", "__number"))
+    plain = numbered.select("path", F.when(F.col("__number") == 0, F.col("name")).otherwise(F.concat("base", F.lit("_"), F.col("__number").cast("string"), "raw_ext")).alias("target_name"))
 
     def loop(pdf: pd.DataFrame) -> pd.DataFrame:
         new = pdf[~pdf["is_old"]].sort_values("path")
         return pd.DataFrame({"path": new["path"], "target_name": assign(list(new["name"]), list(new["base"]), list(new["raw_ext"]), set(pdf[pdf["is_old"]]["name"]))})
 
-    exact = marked.where(F.col("mixed") | F.col("old")).groupBy(*head).applyInPandas(loop, "path string, target_name string")
+    exact = marked.where("mixed").groupBy(*head).applyInPandas(loop, "path string, target_name string")
     changed = plain.unionByName(exact).withColumnsRenamed({"path": "__path", "target_name": "__name"})
     return rows.join(changed, F.col("path") == F.col("__path"), "left").withColumn("target_name", F.coalesce("__name", "name")).drop("__path", "__name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PREVIEW
@@ -13,11 +13,20 @@ def totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_size"))
 
 
+def _failure(path: Column, error: Column) -> Column:
+    return F.concat(path, F.lit(" (例外錯誤: "), error, F.lit(")"))
+
+
+def failures(routed: DataFrame) -> DataFrame:
+    """failure: what went wrong with a file, a row each."""
+    return routed.where(F.col("error").isNotNull()).select(_failure(F.col("path"), F.col("error")).alias("failure"))
+
+
 def run_stats(routed: DataFrame) -> DataFrame:
     """One row: processed, processed_size, total_size, skipped, errors, failed_files. routed: path, length, outcome, error."""
     filed = F.col("outcome") == "filed"
     size = lambda when: F.coalesce(F.sum(F.when(when, F.coalesce("length", F.lit(0)))), F.lit(0)).cast("bigint")
-    failed = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("path", "error")))), lambda x: F.concat(x["path"], F.lit(" (例外錯誤: "), x["error"], F.lit(")")))
+    failed = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("path", "error")))), lambda x: _failure(x["path"], x["error"]))
     return routed.agg(
         F.count_if(filed).alias("processed"),
         size(filed | (F.col("outcome") == "resumed")).alias("processed_size"),

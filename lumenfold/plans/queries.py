@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import fmt, geo, hashing
-from ..functions.images import laplacian_var
+from ..functions.images import exif_fields, laplacian_var
 from ..functions.names import is_junk, is_screenshot
 from ..model import JUNK_EXTENSIONS, PHOTO_EXTENSIONS, SIBLING_EXTENSIONS, VIDEO_EXTENSIONS, Options
 from ..operators import dates as OD
 from ..operators import dedup, history, naming, report
 from ..operators import geo as OG
+from ..operators.content import content_marks, of_table
 from ..operators.pairs import live_pairs
 from . import fixtures as X
 from .organize import Catalog, empty_dirs, routed
@@ -457,3 +458,122 @@ def empty_dirs_of(spark, d):
 
 
 QUERIES["empty_dirs"], ORACLES["empty_dirs"] = QUERIES.pop("empty_dirs_of"), ORACLES.pop("empty_dirs_of")
+
+
+@query(
+    """SELECT path, strftime(try_strptime((1890 + i % 160) || ':' || (i % 14) || ':' || (i % 33) || ' ' || (i % 24) || ':' || (i % 60) || ':' || (i % 59), '%Y:%m:%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts,
+    round(CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * (i % 90 + (i * 7 % 60) / 60.0::DOUBLE + (i * 11 % 60) / 3600.0::DOUBLE), 9) + 0.0 AS lat,
+    round(CASE WHEN i % 3 = 0 THEN 1 ELSE -1 END * (i % 180 + (i * 13 % 60) / 60.0::DOUBLE + (i * 17 % 60) / 3600.0::DOUBLE), 9) + 0.0 AS lon
+    FROM (SELECT path, file_id AS i FROM media)"""
+)
+def embedded_fields(spark, d):
+    """Dates and positions read from the bytes of pictures: JPEG, PNG, WebP, TIFF, and HEIC with both kinds of item."""
+    read = X.pictures(X.texts(spark, d)).select("path", exif_fields(F.col("content")).alias("e")).select("path", "e.*")
+    places = OG.coordinates(read).withColumnRenamed("path", "__path")
+    out = read.select("path", F.date_format(D.exif_date(F.col("changed")), SHOWN).alias("ts")).join(places, F.col("path") == F.col("__path"), "left")
+    return out.select("path", "ts", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+_BODIES = """, bodies AS (
+  SELECT file_id, path, strlen(t) * 2 + 21001 AS length, md5(t || repeat('.', 9000) || ((file_id // 7) % 2) || repeat('.', 12000) || t) AS h2
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d JOIN media ON file_id = doc_id
+), there AS (SELECT CASE WHEN file_id % 6 = 0 THEN path ELSE '/dst/f' || file_id END AS path, length, h2 FROM bodies WHERE file_id % 3 = 0
+), met AS (SELECT b.*, EXISTS (SELECT 1 FROM there t WHERE t.length = b.length AND t.h2 = b.h2 AND t.path <> b.path) AS in_dst FROM bodies b
+)"""
+
+
+@query(f"{_BODIES} SELECT path, in_dst, NOT in_dst AND path > min(path) FILTER (WHERE NOT in_dst) OVER (PARTITION BY length, h2) AS is_dup FROM met")
+def dedup_contents(spark, d):
+    """Copies in three tiers: sizes, samples, whole contents. Some have equal samples and unequal contents, some files are their own target."""
+    bodies = X.padded_contents(X.texts(spark, d))
+    there = bodies.where("file_id % 3 = 0").select(F.when(F.col("file_id") % 6 == 0, F.col("path")).otherwise(F.concat(F.lit("/dst/f"), F.col("file_id").cast("string"))).alias("path"), "length", "content")
+    contents = bodies.select("path", "content").unionByName(there.where(F.startswith("path", F.lit("/dst/"))).select("path", "content"))
+    return content_marks(bodies.select("path", "length"), there.select("path", "length"), of_table(contents))
+
+
+_HELD = """, new AS (SELECT path, '/dst/No_Date' AS dir, 'file' || (k % 50) AS base, ext FROM media
+), old AS (SELECT DISTINCT 'file' || (k % 50) AS base, ext, (file_id * 7 % 23)::BIGINT AS number FROM media WHERE file_id % 4 <> 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY base, ext ORDER BY dir0, path) AS r FROM (SELECT *, regexp_extract(path, '^(.*)/', 1) AS dir0 FROM new)
+), free AS (
+  SELECT base, ext, number, row_number() OVER (PARTITION BY base, ext ORDER BY number) AS r
+  FROM (SELECT base, ext, unnest(range(0, n + 30)) AS number FROM (SELECT base, ext, count(*) AS n FROM new GROUP BY 1, 2)) x ANTI JOIN old USING (base, ext, number)
+)"""
+
+
+@query(f"{_HELD} SELECT path, r.base || CASE WHEN number = 0 THEN '' ELSE '_' || number END || r.ext AS target_name FROM ranked r JOIN free USING (base, ext, r)")
+def taken_names(spark, d):
+    """Names in a folder that holds some of them, numbers included: each repeat takes the next free one."""
+    files, k = X.media_files(spark, d), F.expr("file_id div 2") % 50
+    base = F.concat(F.lit("file"), k.cast("string"))
+    number = F.col("file_id") * 7 % 23
+    old = files.where("file_id % 4 <> 1").select(F.concat(F.lit("/dst/No_Date/"), base, F.when(number == 0, "").otherwise(F.concat(F.lit("_"), number.cast("string"))), "ext").alias("path")).distinct()
+    rows = files.select("path", F.lit("/dst/No_Date").alias("target_dir"), F.concat(base, "ext").alias("name"))
+    return naming.unique_names(rows, old).select("path", "target_name")
+
+
+_NUMBERS = """, dated AS (SELECT path, dir, ext, strftime(ts, '%Y_%m_%d') AS prefix FROM media JOIN filename USING (path) WHERE year(ts) >= 1900 AND ts <= TIMESTAMP '2026-01-31'
+), old AS (SELECT prefix, max(number) AS top FROM (SELECT prefix, hash_of % 1500 AS number FROM (SELECT prefix, file_id * 31 AS hash_of FROM dated JOIN media USING (path)) WHERE hash_of % 3 <> 0) GROUP BY 1
+)"""
+
+
+@query(
+    f"{_NUMBERS} SELECT path, '/dst/' || prefix || '_' || printf('%03d', coalesce(top, 0) + row_number() OVER (PARTITION BY prefix ORDER BY dir, path)) || ext AS dest FROM dated LEFT JOIN old USING (prefix)"
+)
+def sequence_resumed(spark, d):
+    """Numbers of a day that go on from the largest one the folder holds, of any extension and above 999."""
+    date = D.valid(D.filename_date(F.col("name")), AS_OF)
+    dated = X.media_files(spark, d).withColumn("date", date).where(F.col("date").isNotNull()).select("file_id", "path", "ext", F.lit("/dst").alias("target_dir"), D.day_prefix(F.col("date")).alias("prefix"))
+    number = F.col("file_id") * 31
+    old = dated.where(number % 3 != 0).select(F.concat(F.lit("/dst/"), "prefix", F.lit("_"), F.lpad((number % 1500).cast("string"), 4, "0"), F.lit(".old")).alias("path"))
+    out = naming.sequence_names(dated, old)
+    return out.select("path", F.concat("target_dir", F.lit("/"), "target_name").alias("dest"))
+
+
+@query(
+    """, dirs AS (SELECT DISTINCT dir || s AS path FROM media, (VALUES (''), ('/e'), ('/f'), ('/f/g')) t(s)
+    ), held AS (SELECT dir || CASE WHEN (k // 50) % 2 = 0 THEN '/f/g/x' ELSE '/y' END AS path FROM media WHERE (k // 50) % 3 <> 0)
+    SELECT path FROM dirs d WHERE NOT EXISTS (SELECT 1 FROM held h WHERE starts_with(h.path, d.path || '/'))"""
+)
+def empty_folders(spark, d):
+    """Folders without a file at any depth below them."""
+    files = X.media_files(spark, d).select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), (F.expr("file_id div 100")).alias("n"))
+    dirs = files.select(F.explode(F.transform(F.array(*map(F.lit, ("", "/e", "/f", "/f/g"))), lambda s: F.concat("dir", s))).alias("path")).distinct()
+    held = files.where("n % 3 <> 0").select(F.concat("dir", F.when(F.col("n") % 2 == 0, "/f/g/x").otherwise("/y")).alias("path"))
+    return empty_dirs(dirs, held)
+
+
+@query(
+    """, marked AS (
+      SELECT *, CASE WHEN is_junk OR is_screenshot OR media IS NULL THEN false
+        ELSE path > min(path) FILTER (WHERE NOT is_junk AND NOT is_screenshot AND media IS NOT NULL) OVER (PARTITION BY length, h) END AS dup,
+        media = 'photo' AND (file_id * 37) % 200 < 100 AND file_id % 5 <> 0 AS blurred FROM flagged
+    ), moved AS (
+      SELECT *, CASE WHEN is_junk THEN 'junk' WHEN is_screenshot THEN 'screenshot' WHEN media IS NULL THEN 'unsupported' WHEN dup THEN 'duplicate' WHEN blurred THEN 'blurred'
+        WHEN date IS NOT NULL THEN 'dated' ELSE 'undated' END AS r FROM marked
+    ) SELECT path, r AS route, CASE WHEN r IN ('junk', 'unsupported') THEN r ELSE 'filed' END AS outcome,
+      CASE r WHEN 'screenshot' THEN '截圖' WHEN 'duplicate' THEN '重複' WHEN 'blurred' THEN '模糊(' || ((file_id * 37) % 200) || ')' WHEN 'dated' THEN '整理' WHEN 'undated' THEN '整理' END AS tag,
+      '/dst/' || CASE r WHEN 'screenshot' THEN '_Screenshots' WHEN 'duplicate' THEN '_Duplicates' WHEN 'blurred' THEN '_Blurry' WHEN 'undated' THEN 'No_Date'
+        WHEN 'dated' THEN CASE WHEN is_live THEN '_LivePhotos' WHEN media = 'photo' THEN 'Photos' ELSE 'Videos' END || '/' || strftime(date, '%Y-%m') || CASE WHEN file_id % 4 <> 3 THEN '/XX_Town' || (file_id % 9) ELSE '' END END AS target_dir
+    FROM moved"""
+)
+def route_move(spark, d):
+    """The plan of a run that moves, with blur check and places: copies and blurred pictures get folders of their own."""
+    files = X.media_files(spark, d)
+    score = ((F.col("file_id") * 37) % 200).cast("double") + 0.5
+    sharp = files.where("file_id % 5 <> 0").select("path", score.alias("score"))
+    places = files.where("file_id % 4 <> 3").select("path", F.concat(F.lit("XX_Town"), (F.col("file_id") % 9).cast("string")).alias("location"))
+    tables = Catalog(files.select("path", "length", "mtime"), X.digests(files), sidecars=X.sidecars(files), exif=X.exif(files), sharpness=sharp, locations=places)
+    plan = routed(tables, Options("/src", "/dst", mode="move", as_of=AS_OF, blur_check_enabled=True, gps_enabled=True))
+    return plan.select("path", "route", "outcome", "tag", "target_dir")
+
+
+@query(
+    """, failed AS (SELECT path, CASE WHEN file_id % 10 = 3 AND outcome = 'filed' THEN 'disk ' || (file_id % 3) || ' full' END AS error FROM plan)
+    SELECT path || ' (例外錯誤: ' || error || ')' AS failure FROM failed WHERE error IS NOT NULL"""
+)
+def failed_files(spark, d):
+    """What failed, a row each."""
+    ids = X.media_files(spark, d).select(F.col("path").alias("__path"), "file_id")
+    plan = plan_of(spark, d).drop("error", "file_id").join(ids, F.col("path") == F.col("__path"))
+    error = F.when((F.col("file_id") % 10 == 3) & (F.col("outcome") == "filed"), F.concat(F.lit("disk "), (F.col("file_id") % 3).cast("string"), F.lit(" full")))
+    return report.failures(plan.withColumn("error", error))
