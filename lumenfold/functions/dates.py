@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..model import FUTURE_DAYS
 
+#: Fixed value: how a day is written in a name.
 _DAY = r"(20\d{2}|19\d{2})[-_]?(\d{2})[-_]?(\d{2})"
 _EXIF = r"^(\d{4}):(\d{1,2}):(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
 _WIDE, _PLAIN = "０１２３４５６７８９", "0123456789"
 
 
 def _stamp(parts: list[Column]) -> Column:
-    return F.call_function("try_make_timestamp_ntz", *[F.try_to_number(p, F.lit("9999")).cast("int") for p in parts])
+    return F.call_function("try_make_timestamp_ntz", *[p.try_cast("int") for p in parts])
 
 
 def _zoned(ts: Column) -> Column:
@@ -29,12 +30,25 @@ def epoch_seconds(seconds: Column) -> Column:
 
 
 def filename_date(name: Column) -> Column:
-    """The leftmost year, month and day in a name; if there are none or no such day, the first 13 digits as milliseconds."""
+    """As with_filename_date, in one expression."""
     plain = F.translate(name, _WIDE, _PLAIN)
-    y, m, d = (F.nullif(F.regexp_extract(plain, _DAY, i), F.lit("")) for i in (1, 2, 3))
+    y, m, d = (F.regexp_extract(plain, _DAY, i) for i in (1, 2, 3))
     zero = F.lit("0")
-    ms = F.nullif(F.regexp_extract(plain, r"(\d{13})", 1), F.lit("")).cast("bigint")
-    return F.coalesce(_stamp([y, m, d, zero, zero, zero]), _zoned(F.timestamp_millis(ms)))
+    return F.coalesce(_stamp([y, m, d, zero, zero, zero]), _zoned(F.timestamp_millis(F.regexp_extract(plain, r"(\d{13})", 1).try_cast("bigint"))))
+
+
+def with_filename_date(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with the leftmost year, month and day in a name; if there are none or no such day, the first 13 digits as milliseconds.
+
+    Each step is a column of its own: one expression for all would be too long for generated code.
+    """
+    df = df.withColumn("__plain", F.translate(name, _WIDE, _PLAIN))
+    digits = lambda pattern, group: F.regexp_extract("__plain", pattern, group)
+    df = df.withColumns({"__year": digits(_DAY, 1), "__month": digits(_DAY, 2), "__day": digits(_DAY, 3), "__ms": digits(r"(\d{13})", 1)})
+    zero = F.lit(0)
+    day = F.call_function("try_make_timestamp_ntz", *[F.col(c).try_cast("int") for c in ("__year", "__month", "__day")], zero, zero, zero)
+    moment = _zoned(F.timestamp_millis(F.col("__ms").try_cast("bigint")))
+    return df.withColumns({"__first": day, "__second": moment}).withColumn(out, F.coalesce("__first", "__second")).drop("__plain", "__year", "__month", "__day", "__ms", "__first", "__second")
 
 
 def exif_date(text: Column) -> Column:

@@ -35,7 +35,7 @@ def own_dates(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None =
     out = sidecar_dates(files, sidecars, as_of) if sidecars is not None else files.withColumn("sidecar_date", F.lit(None).cast("timestamp_ntz"))
     out = out.join(exif_dates(exif, as_of), "path", "left") if exif is not None else out.withColumn("__exif", F.lit(None).cast("timestamp_ntz"))
     photo = F.col("media") == "photo"
-    out = out.withColumn("__named", D.filename_date(F.col("name")))
+    out = D.with_filename_date(out, "name", "__named")
     return out.withColumn("own_date", F.coalesce("sidecar_date", F.when(photo, F.col("__exif")), D.valid(F.col("__named"), as_of))).drop("__exif", "__named", "sidecar_date")
 
 

@@ -141,8 +141,8 @@ def plan_of(spark: SparkSession, d: str) -> DataFrame:
 def folders(spark: SparkSession, d: str) -> DataFrame:
     """Files and bytes that each folder would get from names alone: classed, copies left out, dated by name."""
     files = eligible(X.media_files(spark, d))
-    kept = dedup.source_duplicates(files, ["h"]).where(~F.col("is_dup"))
-    date = D.valid(D.filename_date(F.col("name")), AS_OF)
+    kept = D.with_filename_date(dedup.source_duplicates(files, ["h"]).where(~F.col("is_dup")), "name", "__named").withColumn("date", D.valid(F.col("__named"), AS_OF))
+    date = F.col("date")
     kind = F.when(F.col("media") == "photo", "Photos").otherwise("Videos")
     target = F.when(date.isNotNull(), F.concat(kind, F.lit("/"), D.month(date))).otherwise("No_Date")
     return kept.groupBy(target.alias("target_dir")).agg(F.count("*").alias("n_files"), F.sum("length").cast("bigint").alias("n_bytes"))
@@ -244,7 +244,7 @@ def json_prop(spark, d):
 
 @query("SELECT path, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM filename WHERE year(ts) >= 1900 AND ts <= TIMESTAMP '2026-01-31'")
 def filename_date(spark, d):
-    found = X.media_files(spark, d).withColumn("date", D.valid(D.filename_date(F.col("name")), AS_OF)).where(F.col("date").isNotNull())
+    found = D.with_filename_date(X.media_files(spark, d), "name", "named").withColumn("date", D.valid(F.col("named"), AS_OF)).where(F.col("date").isNotNull())
     return found.select("path", F.date_format("date", SHOWN).alias("ts"))
 
 
@@ -521,8 +521,7 @@ _NUMBERS = """, dated AS (SELECT path, dir, ext, strftime(ts, '%Y_%m_%d') AS pre
 )
 def sequence_resumed(spark, d):
     """Numbers of a day that go on from the largest one the folder holds, of any extension and above 999."""
-    date = D.valid(D.filename_date(F.col("name")), AS_OF)
-    dated = X.media_files(spark, d).withColumn("date", date).where(F.col("date").isNotNull()).select("file_id", "path", "ext", F.lit("/dst").alias("target_dir"), D.day_prefix(F.col("date")).alias("prefix"))
+    dated = D.with_filename_date(X.media_files(spark, d), "name", "named").withColumn("date", D.valid(F.col("named"), AS_OF)).where(F.col("date").isNotNull()).select("file_id", "path", "ext", F.lit("/dst").alias("target_dir"), D.day_prefix(F.col("date")).alias("prefix"))
     number = F.col("file_id") * 31
     old = dated.where(number % 3 != 0).select(F.concat(F.lit("/dst/"), "prefix", F.lit("_"), F.lpad((number % 1500).cast("string"), 4, "0"), F.lit(".old")).alias("path"))
     out = naming.sequence_names(dated, old)
