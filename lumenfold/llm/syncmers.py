@@ -1,11 +1,16 @@
 """Document fingerprints from closed syncmers.
 
-A window of K code points is a closed syncmer if the least hash of its S-point substrings is that of its
+A window of k code points is a closed syncmer if the least hash of its s-point substrings is that of its
 first or its last substring. The choice depends on the window alone, so the same passage yields the same
-anchors in any document, wherever it stands (`anchors` gives their positions, `shift` matches two documents
-by them). A fingerprint is the KEEP least distinct anchor hashes; two fingerprints' likeness is the share of
-common hashes among the KEEP least of both (an estimate of the Jaccard likeness of all anchors). A text
-shorter than K is one anchor.
+anchors in any document, wherever it stands. Short texts have short windows (WINDOWS), so that half of any text
+holds an anchor; two texts are compared with the windows of the shorter one.
+
+A fingerprint carries the position and hash of each anchor it keeps: those with the least hashes, LEAST of them and all below
+a fixed share of all hashes (1 / SHARE), so it grows with the text and nothing else is lost. Below the smaller of two
+fingerprints' bounds both hold all their anchors. There anchors of one hash are matched in order, and a match counts if another one has
+moved by the same distance (or if there are few), so a phrase that two texts share by chance does not. Likeness is the number of matches by all
+anchors of both: exact for texts of up to LEAST anchors, else an estimate from LEAST anchors or more, whose standard error is
+sqrt(x (1 - x) / anchors), 0.06 at most. A text without windows is one anchor.
 
 op5 compares each document with the next one by doc_id and with an edited text of both. Documents are dealt
 to ranges of doc_id once, with the first document of each range also sent to the range before it, so each
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices
 
-K, S, KEEP = 24, 11, 64
+#: Least length of a text, and its windows and their substrings, in code points.
+WINDOWS = ((96, 24, 11), (32, 6, 4), (8, 3, 2), (0, 1, 1))
+K, S = WINDOWS[0][1:]
+#: Anchors that a fingerprint keeps at least, and the share of all hashes that it keeps beyond them (one in SHARE).
+LEAST, SHARE = 64, 32
 ROWS_PER_RANGE = 500
 MAX_RANGES = 32768
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -70,39 +80,69 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def sketches(texts: list[str], k: int = K, s: int = S, keep: int = KEEP) -> list[np.ndarray]:
-    """The `keep` least distinct anchor hashes of each text, in order."""
-    parts = [code_points(t) for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    if not len(ends):
-        return []
-    at, hashes = anchors(np.concatenate(parts), k, s)
-    of = np.searchsorted(ends, at, side="right")
-    inside = at + k <= ends[of] if len(at) else np.empty(0, dtype=bool)
-    of, hashes = of[inside], hashes[inside]
-    cut = np.searchsorted(of, np.arange(len(texts) + 1))
-    out = []
-    for i, part in enumerate(parts):
-        own = np.unique(hashes[cut[i] : cut[i + 1]])[:keep]
-        if not len(own) and len(part):  # too short for a window, or none was closed
-            digest = hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            own = np.frombuffer(digest, dtype=np.uint64)
-        out.append(own)
+class Sketch(NamedTuple):
+    """Positions and hashes of anchors in order of hash and position; bound: the hash up to which no anchor is missing."""
+
+    k: int
+    at: np.ndarray
+    hashes: np.ndarray
+    bound: int
+
+
+def window_of(n: int) -> tuple[int, int]:
+    """Window and substring of a text of n code points."""
+    return next((k, s) for least, k, s in WINDOWS if n >= least)
+
+
+def sketches(texts: list[str], windows: list[tuple[int, int]] | None = None, least: int = LEAST, share: int = SHARE) -> list[Sketch]:
+    """A sketch of each text, with the windows given or its own."""
+    windows = [window_of(len(t)) for t in texts] if windows is None else windows
+    out: list[Sketch | None] = [None] * len(texts)
+    limit = np.uint64((1 << 64) // share - 1)
+    for k, s in sorted(set(windows)):
+        own = [i for i, w in enumerate(windows) if w == (k, s)]
+        parts = [code_points(texts[i]) for i in own]
+        ends = np.cumsum([len(p) for p in parts])
+        at, hashes = anchors(np.concatenate(parts), k, s)
+        of = np.searchsorted(ends, at, side="right")
+        inside = at + k <= ends[of] if len(at) else np.empty(0, dtype=bool)
+        of, at, hashes = of[inside], at[inside], hashes[inside]
+        at = at - (ends - [len(p) for p in parts])[of]
+        order = np.lexsort((at, hashes, of))
+        of, at, hashes = of[order], at[order], hashes[order]
+        cut = np.searchsorted(of, np.arange(len(own) + 1))
+        for j, i in enumerate(own):
+            p, h, bound = at[cut[j] : cut[j + 1]], hashes[cut[j] : cut[j + 1]], (1 << 64) - 1
+            if not len(h) and len(parts[j]):  # too short for a window
+                digest = hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                p, h = np.zeros(1, dtype=np.int64), np.frombuffer(digest, dtype=np.uint64)
+            elif len(h) > least:
+                top = max(limit, h[least - 1])
+                n = int(np.searchsorted(h, top, side="right"))
+                if n < len(h):
+                    p, h, bound = p[:n], h[:n], int(top)
+            out[i] = Sketch(k, p, h, bound)
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
-    """The share of the `keep` least hashes of a and b that both have; 1 if both are empty."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.concatenate([a, b])
-    both.sort()
-    twice = both[1:] == both[:-1]
-    distinct = len(both) - int(twice.sum())
-    if distinct > keep:
-        last = np.unique(both)[keep - 1]
-        twice, distinct = twice & (both[1:] <= last), keep
-    return int(twice.sum()) / distinct
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Matched anchors by all anchors of both texts, from the hashes that both sketches cover; 1 for two empty texts."""
+    bound = np.uint64(min(a.bound, b.bound))
+    n, m = (int(np.searchsorted(x.hashes, bound, side="right")) for x in (a, b))
+    if not n or not m:
+        return float(n == m)
+    (ua, ia, ca), (ub, ib, cb) = (np.unique(h, return_index=True, return_counts=True) for h in (a.hashes[:n], b.hashes[:m]))
+    _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    if not len(x):
+        return 0.0
+    times = np.minimum(ca[x], cb[y])
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    moved = b.at[np.repeat(ib[y], times) + step] - a.at[np.repeat(ia[x], times) + step]
+    matched = len(moved)
+    if matched >= 8:
+        _, inverse, counts = np.unique(moved, return_inverse=True, return_counts=True)
+        matched = int((counts[inverse] > 1).sum())
+    return matched / (n + m - matched)
 
 
 def shift(a: str, b: str, k: int = K, s: int = S) -> tuple[int, int]:
@@ -118,8 +158,12 @@ def shift(a: str, b: str, k: int = K, s: int = S) -> tuple[int, int]:
     return int(moves[best]), int(counts[best])
 
 
-def text_of(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").tobytes().hex()
+def text_of(sketch: Sketch) -> str:
+    """The window's length, then position and hash of each anchor, in hexadecimal."""
+    both = np.empty((len(sketch.at), 12), dtype=np.uint8)
+    both[:, :4] = sketch.at.astype(">u4").view(np.uint8).reshape(-1, 4)
+    both[:, 4:] = sketch.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return f"{sketch.k}:{both.tobytes().hex()}"
 
 
 def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, max_ranges: int = MAX_RANGES) -> DataFrame:
@@ -149,26 +193,40 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, max_ranges:
     return dealt.repartitionById(count, "range").sortWithinPartitions("last", F.col("doc_id").asc_nulls_first(), "th").select("doc_id", "text", "last")
 
 
-def compared(docs: DataFrame, k: int = K, s: int = S, keep: int = KEEP) -> DataFrame:
+def compared(docs: DataFrame, least: int = LEAST, share: int = SHARE) -> DataFrame:
     """A row per document with its fingerprint, that of its edited text, and the likenesses."""
 
+    def own(texts: list[str]) -> list[Sketch]:
+        return sketches(texts, None, least, share)
+
+    def alike(pairs: list[tuple[str, Sketch, str, Sketch]]) -> list[float]:
+        """Likeness of each pair, with the windows of its shorter text."""
+        want = [window_of(min(len(a), len(b))) for a, _, b, _ in pairs]
+        again = [(i, side, w) for i, (p, w) in enumerate(zip(pairs, want, strict=True)) for side in (0, 2) if p[side + 1].k != w[0]]
+        made = iter(sketches([pairs[i][side] for i, side, _ in again], [w for *_, w in again], least, share))
+        other = {(i, side): next(made) for i, side, _ in again}
+        return [likeness(other.get((i, 0), p[1]), other.get((i, 2), p[3])) for i, p in enumerate(pairs)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int | None, str, np.ndarray]] = []  # the row before, whose next one is not known yet
+        held: list[tuple[int | None, str, Sketch]] = []  # the row before, whose next one is not known yet
         ended = False
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 if ended:
                     continue
                 ids, texts, last = (part.column(c).to_pylist() for c in ("doc_id", "text", "last"))
                 if True in last:
                     to = last.index(True) + 1  # one row that follows is enough
                     ids, texts, ended = ids[:to], texts[:to], True
-                seen = [*held, *zip(ids, texts, sketches(texts, k, s, keep), strict=True)]
-                edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for (_, a, _), (_, b, _) in zip(seen, seen[1:])]  # noqa: B905
-                own = sketches(edited, k, s, keep)
+                seen = [*held, *zip(ids, texts, own(texts), strict=True)]
+                both = list(zip(seen, seen[1:]))  # noqa: B905
+                edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for (_, a, _), (_, b, _) in both]
+                marks = own(edited)
+                near_edited = alike([(a, fa, e, fe) for ((_, a, fa), _), e, fe in zip(both, edited, marks, strict=True)])
+                near_next = alike([(a, fa, b, fb) for (_, a, fa), (_, b, fb) in both])
                 rows = [
-                    (i, len(a), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), text_of(fa), text_of(fe), likeness(fa, fe, keep), likeness(fa, fb, keep))
-                    for (i, a, fa), (_, _, fb), e, fe in zip(seen, seen[1:], edited, own)  # noqa: B905
+                    (i, len(a), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), text_of(fa), text_of(fe), x, y)
+                    for ((i, a, fa), _), e, fe, x, y in zip(both, edited, marks, near_edited, near_next, strict=True)
                 ]
                 held = seen[-1:]
                 if rows:
