@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the folder in spark.checkpoint.dir and read again, so that what follows plans from a table.
-
-    Only in local mode may that setting be absent; then a temporary folder stands in.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only in local mode may that setting be absent; then a temporary folder stands in."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lumenfold-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again, so that what follows plans from a table."""
+    path = f"{shared_dir(df.sparkSession)}/catalogue-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,11 @@ from ..functions.images import exif_fields, laplacian_var
 from ..functions.names import is_junk, is_screenshot
 from ..model import JUNK_EXTENSIONS, PHOTO_EXTENSIONS, SIBLING_EXTENSIONS, VIDEO_EXTENSIONS, Options
 from ..operators import dates as OD
-from ..operators import dedup, history, naming, report
+from ..operators import dedup, history, historylog, naming, report
 from ..operators import geo as OG
 from ..operators.content import content_marks, of_table
 from ..operators.pairs import live_pairs
+from ..operators.store import shared_dir
 from . import fixtures as X
 from .organize import Catalog, empty_dirs, routed
 
@@ -576,3 +578,16 @@ def failed_files(spark, d):
     plan = plan_of(spark, d).drop("error", "file_id").join(ids, F.col("path") == F.col("__path"))
     error = F.when((F.col("file_id") % 10 == 3) & (F.col("outcome") == "filed"), F.concat(F.lit("disk "), (F.col("file_id") % 3).cast("string"), F.lit(" full")))
     return report.failures(plan.withColumn("error", error))
+
+
+@query(
+    """SELECT path AS src, mtime + j AS mtime, length AS size, '/dst/b' || j || '/f' || file_id AS dest
+    FROM (SELECT *, CASE WHEN file_id % 6 = 0 THEN 4 WHEN file_id % 5 = 0 THEN 3 WHEN file_id % 4 = 0 THEN 2 WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS j FROM media)"""
+)
+def history_log(spark, d):
+    """The record after five batches of a log whose parts are merged by twos."""
+    files, at = X.media_files(spark, d), f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    for j in range(5):
+        rows = files.where(F.col("file_id") % (j + 2) == 0) if j else files
+        historylog.append(rows.select(F.col("path").alias("src"), (F.col("mtime") + j).alias("mtime"), F.col("length").alias("size"), F.concat(F.lit(f"/dst/b{j}/f"), F.col("file_id").cast("string")).alias("dest")), at, j, fan=2)
+    return historylog.read(spark, at, 4)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import FILES, HISTORY, Options
-from ..operators.history import upsert
+from ..model import FILES, Options
+from ..operators import historylog
 from ..operators.store import stored
 from ..plans.organize import Catalog, history_updates, routed
 
@@ -21,7 +21,8 @@ PLANNED = "path string, length bigint, route string, outcome string, tag string,
 def follow(spark: SparkSession, inventories: str, out: str, history: str, checkpoint: str, options: Options, tables: Catalog | None = None) -> StreamingQuery:
     """Plans each new batch of Parquet inventories (path, length, mtime) and adds it to `out`.
 
-    The state is what earlier batches left: their rows in `out`, and the history, a folder of Parquet versions, one per batch. A batch
+    The state is what earlier batches left: their rows in `out`, and the history, a log of parts with a version per batch
+    (`operators.historylog`). A batch
     sees only rows and the version of batches before it, so one that is repeated reads the same state and replaces its own rows:
     results are exactly once. Targets that earlier batches gave are taken, their sequence numbers go on, and files that were filed stand
     for their contents: with a reader in `tables`, a later copy is a duplicate. Batches whose paths follow each other are
@@ -32,7 +33,7 @@ def follow(spark: SparkSession, inventories: str, out: str, history: str, checkp
 
     def one(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        before = session.read.schema(HISTORY).parquet(f"{history}/version={number - 1}") if number else session.createDataFrame([], HISTORY)
+        before = historylog.read(session, history, number - 1)
         earlier = [f"{out}/batch={k}" for k in range(number)]
         done = session.read.schema(PLANNED).option("basePath", out).parquet(*earlier) if earlier else session.createDataFrame([], PLANNED)
         filed = done.where("outcome = 'filed'")
@@ -40,7 +41,7 @@ def follow(spark: SparkSession, inventories: str, out: str, history: str, checkp
         state = replace(base, files=batch, history=before, filed=filed.select(F.col("dest").alias("path"), "length"), seen=firsts)
         plan = stored(routed(state, options))
         plan.select("path", "length", "route", "outcome", "tag", "dest").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        upsert(before, history_updates(plan, options)).write.mode("overwrite").parquet(f"{history}/version={number}")
+        historylog.append(history_updates(plan, options), history, number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
