@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,17 +63,48 @@ def _place(src: str, dst: str, mode: str) -> str | None:
             os.remove(part)
 
 
-def transfer(plan: DataFrame, mode: str) -> DataFrame:
-    """path, dest, error of the filed rows, after copying (keeping times) or moving them. Tasks may be repeated safely."""
+#: Files that one task brings to their targets: what a stopped task loses of its report, and the grain of live progress.
+TASK_FILES = 200
+
+
+def transfer(plan: DataFrame, mode: str, counters: tuple[Accumulator, Accumulator] | None = None, task_files: int = TASK_FILES) -> DataFrame:
+    """path, dest, error of the filed rows, after copying (keeping times) or moving them. Tasks may be repeated safely.
+
+    counters: files and bytes done, added to as tasks end.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(error=pd.Series([_place(a, b, mode) for a, b in zip(part["path"], part["dest"], strict=True)], index=part.index, dtype="object"))
-
-    rows = plan.where(F.col("outcome") == "filed").select("path", "dest")
+            errors = [_place(a, b, mode) for a, b in zip(part["path"], part["dest"], strict=True)]
+            if counters:
+                counters[0].add(len(part))
+                counters[1].add(int(part["length"].fillna(0).sum()))
+            yield part[["path", "dest"]].assign(error=pd.Series(errors, index=part.index, dtype="object"))
+
+    rows = plan.where(F.col("outcome") == "filed").select("path", "dest", "length")
+    rows = rows.repartition(max(1, -(-rows.count() // task_files)), "path")
     return rows.mapInPandas(run, "path string, dest string, error string")
 
 
+def landed(plan: DataFrame, mode: str) -> DataFrame:
+    """path of the filed rows that are at their target: how far a transfer came that did not end."""
+
+    def there(src: str, dst: str, size: int) -> bool:
+        try:
+            found = os.stat(dst)
+            if mode == "move":
+                return not os.path.exists(src)
+            return found.st_size == size and abs(found.st_mtime - os.stat(src).st_mtime) < 0.001
+        except OSError:
+            return False
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[[there(*x) for x in zip(part["path"], part["dest"], part["length"], strict=True)]][["path"]]
+
+    return plan.where(F.col("outcome") == "filed").select("path", "dest", "length").mapInPandas(run, "path string")
+
+
 def write_preview(preview: DataFrame, path: str) -> None:
     """One CSV file with a byte order mark, as spreadsheets like it; rows come to the driver one partition at a time."""
     import csv
