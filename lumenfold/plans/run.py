@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import os
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +64,10 @@ def run(spark: SparkSession, options: Options, history_path: str | None = None,
         return run_stats(plan).first().asDict() | {"stopped": False}
     updates, stopped = history_updates(plan, options), False
     filed = plan.where("outcome = 'filed'").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    staging = os.path.join(options.dst_root, f".unfinished-{uuid.uuid4().hex}")
     try:
         with reported(spark, *filed, report, every) as counters, tagged(spark, tag):
-            done = stored(sinks.transfer(plan, options.mode, counters, task_files))  # files move here, once
+            done = stored(sinks.transfer(plan, options.mode, counters, task_files, staging))  # files move here, once
     except Exception as e:
         if not tag or "cancelled" not in str(e).lower():
             raise
@@ -72,6 +75,8 @@ def run(spark: SparkSession, options: Options, history_path: str | None = None,
         there = stored(sinks.landed(plan, options.mode)).select(F.col("path").alias("__there"))
         left = plan.where("outcome = 'filed'").join(there, F.col("path") == F.col("__there"), "left_anti")
         done = left.select("path", "dest", F.lit("stopped").alias("error"))
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
     failed = done.where(F.col("error").isNotNull()).select(F.col("path").alias("__path"), F.col("error").alias("__error"))
     late = F.when(F.col("__error").isNull(), F.col("outcome")).otherwise("stopped" if stopped else "failed")
     after = plan.join(failed, F.col("path") == F.col("__path"), "left").withColumns({"error": F.when(~F.lit(stopped), F.col("__error")), "outcome": late})

@@ -34,13 +34,16 @@ def _name(at: str, dst: str) -> None:
         os.replace(at, dst)
 
 
-def _place(src: str, dst: str, mode: str) -> str | None:
+def _place(src: str, dst: str, mode: str, staging: str | None = None) -> str | None:
     """Brings one file to its target; the error as text. Nothing that is there is replaced; a repeat of a finished step does nothing.
 
-    The bytes come to a file of their own beside the target, which then gets the target's name only if none has it yet.
+    The bytes come to a file of their own in the staging folder (or beside the target), which then gets the target's name only if no
+    file has it yet.
     """
-    part = f"{dst}.part-{uuid.uuid4().hex}"
+    part = f"{staging}/{uuid.uuid4().hex}" if staging else f"{dst}.part-{uuid.uuid4().hex}"
     try:
+        if staging:
+            os.makedirs(staging, exist_ok=True)
         os.makedirs(os.path.dirname(dst), exist_ok=True)
         if not os.path.exists(src):
             return None if mode == "move" and os.path.exists(dst) else f"{src} is gone"
@@ -67,15 +70,17 @@ def _place(src: str, dst: str, mode: str) -> str | None:
 TASK_FILES = 200
 
 
-def transfer(plan: DataFrame, mode: str, counters: tuple[Accumulator, Accumulator] | None = None, task_files: int = TASK_FILES) -> DataFrame:
-    """path, dest, error of the filed rows, after copying (keeping times) or moving them. Tasks may be repeated safely.
+def transfer(plan: DataFrame, mode: str, counters: tuple[Accumulator, Accumulator] | None = None, task_files: int = TASK_FILES, staging: str | None = None) -> DataFrame:
+    """path, dest, error of the filed rows, after copying (keeping times) or moving them. Tasks may be repeated or run twice at once: each file
+    gets its target once.
 
-    counters: files and bytes done, added to as tasks end.
+    counters: files and bytes done, added to as tasks end. staging: a folder on the targets' file system that holds unfinished files;
+    whoever gave it removes it when the transfer is over, with what killed tasks left there.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            errors = [_place(a, b, mode) for a, b in zip(part["path"], part["dest"], strict=True)]
+            errors = [_place(a, b, mode, staging) for a, b in zip(part["path"], part["dest"], strict=True)]
             if counters:
                 counters[0].add(len(part))
                 counters[1].add(int(part["length"].fillna(0).sum()))
