@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import zipfile
 from collections.abc import Iterator
@@ -14,20 +13,22 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stream_hash
 from ..functions.images import exif_fields_at, image_sharpness
 from ..model import HISTORY
+from ..operators.store import stored
+from .jsonobject import entries
 from .walkfs import scan
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """The record of earlier runs, from Parquet or from one JSON object; empty if it is absent or broken."""
+    """The record of earlier runs, from Parquet or from one JSON object of any size; empty if it is absent or broken."""
     if os.path.isdir(path):
         return spark.read.schema(HISTORY).parquet(path)
-    try:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-        rows = [(k, float(v["mtime"]), int(v["size"]), str(v["dest"])) for k, v in found.items()]
-    except (OSError, ValueError, TypeError, KeyError, AttributeError):
-        rows = []
-    return spark.createDataFrame(rows, HISTORY)
+    found = entries(spark, path)
+    if found is None:
+        return spark.createDataFrame([], HISTORY)
+    rows = found.select(F.col("key").alias("src"), F.from_json("value", "mtime double, size bigint, dest string").alias("v")).select("src", "v.*")
+    rows = stored(rows)
+    broken = rows.where("mtime IS NULL OR size IS NULL OR dest IS NULL").limit(1).count()
+    return spark.createDataFrame([], HISTORY) if broken else rows
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
