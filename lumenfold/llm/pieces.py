@@ -261,8 +261,8 @@ class Run:
         self.size += int(pc.sum(pc.utf8_length(texts)).as_py() or 0)
         return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)), pa.array(flat))
 
-    def full(self) -> bool:
-        return self.size >= GROUP_BYTES or len(self.word_no) >= GROUP_WORDS
+    def full(self, share: int = 1) -> bool:
+        return self.size >= GROUP_BYTES // share or len(self.word_no) >= GROUP_WORDS // share
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,8 +330,8 @@ def partitions(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 100_000))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, exact (the ids decode to the text) of each document."""
+def encode(docs: DataFrame, model: str = MODEL, share: int = 1) -> DataFrame:
+    """doc_id, n_tokens, ids, exact (the ids decode to the text) of each document. share: runs are smaller by it, for less memory and more shuffle."""
     table = Table(model)
     cutter, fold, bytes_of = Cutter(table.pairs), Fold(table), table.bytes_of
     own = settled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", "text", F.spark_partition_id().alias("part"))
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = rows.column("text")
                 digests = [digest(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
                 run.slices.append(ipc_bytes(doc_id=rows.column("doc_id"), digest=pa.array(digests, pa.binary()), units=run.add(texts)))
-                if run.full():
+                if run.full(share):
                     yield from run_rows(g, run, fold, buckets)
                     run, g = Run(cutter), g - 1
                     give_back()
@@ -437,4 +437,4 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows: null and empty texts have no ids; repeated rows stay; other columns, whatever their names, are left out. An empty
     table gives an empty result.
     """
-    return encode(docs)
+    return encode(docs, share=2)  # workers and heap have served four stages before

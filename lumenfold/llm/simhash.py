@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mapped, quoted, slices, stored, unused
+from .common import documents, give_back, mapped, quoted, slices, stored, unused
 from .graph import components
 
 RADIUS = 3
@@ -250,6 +250,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     keys.append(band_keys(own).view(np.int64))
                 signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sids, fps, sizes)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "sid", "fp", "size", "bands"])
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
     return mapped(own, run, "doc_id long, text_hash long, sid long, fp long, size long, bands array<long>")
@@ -304,6 +305,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, sim
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([shingle_set(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["sid", "members"])
+        give_back()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,6 +315,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, sim
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     pairs = stored(pairs.distinct())
     need = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", F.col("text_hash").alias("own_hash"))

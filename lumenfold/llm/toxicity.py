@@ -334,6 +334,8 @@ def score(docs: DataFrame, model: Model | None, column: str = "toxicity") -> Dat
                 texts = part.column("text").to_pylist()
                 found = model.score(reader, texts) if model else [0.0] * len(texts)
                 yield part.append_column(column, pa.array(found, pa.float64()))
+        del reader
+        give_back()  # the worker lives on, too
 
     return mapped(docs, run, schema)
 
