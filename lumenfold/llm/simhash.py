@@ -40,6 +40,8 @@ SHINGLE = 3
 #: Classes of a group that are one tile, and those beyond which a group is dealt again.
 TILE, REFINE = 4096, 65536
 SEED = 42
+#: Text bytes that a worker handles at once: words and hashes of a text take some thirty times its bytes.
+SLICE_BYTES = 1 << 20
 #: The pipeline's near copies: words of a shingle, Jaccard similarity, and bits within which they are sought.
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 16
 #: Bands of minhashes, and minhashes of a band. A pair at similarity s shares a band with a probability of 1 - (1 - s ** rows) ** bands.
@@ -79,7 +81,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 fps = np.array([majority(shingle_hashes(t, n)) for t in part.column("text").to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
@@ -239,7 +241,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 sids, fps, sizes, keys = [], [], [], []
                 for t in part.column("text").to_pylist():
                     hashes = shingle_hashes(t, n)
