@@ -14,10 +14,10 @@ from .store import stored
 EXIF_ORDER = ("sub_original", "sub_digitized", "sub_changed", "original", "changed")
 
 
-def sidecar_dates(files: DataFrame, sidecars: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """files with sidecar_date: of `path.json`, or else of `stem.json`. sidecars: path, body."""
+def sidecar_dates(files: DataFrame, sidecars: DataFrame, as_of: dt.datetime, decides: bool = False) -> DataFrame:
+    """files with sidecar_date: of `path.json`, or else of `stem.json`. sidecars: path, body. decides: dates that are not valid count too."""
     found = D.with_sidecar_date(sidecars.select(F.col("path").alias("__json"), F.col("body").alias("__body")), "__body", "__date").drop("__body")
-    found = found.where(D.is_valid(F.col("__date"), as_of))
+    found = found.where(F.col("__date").isNotNull() if decides else D.is_valid(F.col("__date"), as_of))
     a = found.withColumnsRenamed({"__json": "__json_a", "__date": "__date_a"})
     b = found.withColumnsRenamed({"__json": "__json_b", "__date": "__date_b"})
     out = files.join(a, F.concat("path", F.lit(".json")) == F.col("__json_a"), "left").join(b, F.concat("stem", F.lit(".json")) == F.col("__json_b"), "left")
