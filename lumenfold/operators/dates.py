@@ -30,13 +30,16 @@ def exif_dates(exif: DataFrame, as_of: dt.datetime | Column, fields: tuple[str,
     return parsed.select("path", D.first_valid([F.col(f"__{f}") for f in fields], as_of).alias("__exif"))
 
 
-def own_dates(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None = None, exif: DataFrame | None = None) -> DataFrame:
-    """files (path, name, stem, media) with own_date. exif: path and the fields of EXIF_ORDER; for photos only."""
-    out = sidecar_dates(files, sidecars, as_of) if sidecars is not None else files.withColumn("sidecar_date", F.lit(None).cast("timestamp_ntz"))
+def own_dates(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None = None, exif: DataFrame | None = None, decides: bool = False) -> DataFrame:
+    """files (path, name, stem, media) with own_date. exif: path and the fields of EXIF_ORDER; for photos only. decides: a file whose
+    sidecar has a date that is not valid has none, in place of that of its fields or name.
+    """
+    out = sidecar_dates(files, sidecars, as_of, decides) if sidecars is not None else files.withColumn("sidecar_date", F.lit(None).cast("timestamp_ntz"))
     out = out.join(exif_dates(exif, as_of), "path", "left") if exif is not None else out.withColumn("__exif", F.lit(None).cast("timestamp_ntz"))
     photo = F.col("media") == "photo"
     out = D.with_filename_date(out, "name", "__named")
-    return out.withColumn("own_date", F.coalesce("sidecar_date", F.when(photo, F.col("__exif")), D.valid(F.col("__named"), as_of))).drop("__exif", "__named", "sidecar_date")
+    first = F.coalesce("sidecar_date", F.when(photo, F.col("__exif")), "__named")
+    return out.withColumn("__first", first).withColumn("own_date", D.valid(F.col("__first"), as_of)).drop("__exif", "__named", "__first", "sidecar_date")
 
 
 def sibling_dates(dated: DataFrame) -> DataFrame:
@@ -45,9 +48,9 @@ def sibling_dates(dated: DataFrame) -> DataFrame:
     return dated.where(F.col("raw_ext").isin(*SIBLING_EXTENSIONS) & F.col("own_date").isNotNull()).groupBy(F.col("stem").alias("__stem")).agg(F.min_by("own_date", rank).alias("sibling_date"))
 
 
-def resolve(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None = None, exif: DataFrame | None = None) -> DataFrame:
+def resolve(files: DataFrame, as_of: dt.datetime, sidecars: DataFrame | None = None, exif: DataFrame | None = None, decides: bool = False) -> DataFrame:
     """files with date. A file that is no photo may take its sibling's."""
-    dated = stored(own_dates(files, as_of, sidecars, exif))
+    dated = stored(own_dates(files, as_of, sidecars, exif, decides))
     out = dated.join(sibling_dates(dated), F.col("stem") == F.col("__stem"), "left")
     lent = F.when(F.coalesce(F.col("media") != "photo", F.lit(True)), F.col("sibling_date"))
     return out.withColumn("date", F.coalesce("own_date", lent)).drop("own_date", "sibling_date", "__stem")

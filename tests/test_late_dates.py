@@ -27,8 +27,9 @@ def assert_as_sql(spark, late, name):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected.fetchall()))
 
 
-def test_sidecar_date(spark, late):
-    assert_as_sql(spark, late, "sidecar_date")
+@pytest.mark.parametrize("name", ["sidecar_date", "date_resolve", "sibling_date"])
+def test_rows(spark, late, name):
+    assert_as_sql(spark, late, name)
 
 
 def test_sidecars_after_the_present(spark):
