@@ -52,6 +52,8 @@ class Options:
     #: size are duplicates, the destination is scanned as source when it lies within it.
     strict_parity: bool = False
     ignore_case: bool = False
+    #: A sidecar's date that is not valid leaves a file without one of its own; else the fields and the name are asked next.
+    sidecar_decides: bool = False
     blur_threshold: float = BLUR_THRESHOLD
     as_of: dt.datetime = field(default_factory=dt.datetime.now)
 

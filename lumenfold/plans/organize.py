@@ -83,7 +83,7 @@ def routed(catalog: Catalog, options: Options) -> DataFrame:
         files = files.join(catalog.sharpness.select("path", "score"), "path", "left").withColumn("is_blurred", F.coalesce((F.col("media") == "photo") & (F.col("score") < options.blur_threshold), F.lit(False)))
     else:
         files = _flag(files, "is_blurred").withColumn("score", F.lit(None).cast("double"))
-    files = live_pairs(resolve(files, options.as_of, catalog.sidecars, catalog.exif), options.ignore_case)
+    files = live_pairs(resolve(files, options.as_of, catalog.sidecars, catalog.exif, options.sidecar_decides), options.ignore_case)
     if options.gps_enabled and catalog.locations is not None:
         files = files.join(catalog.locations.select("path", "location"), "path", "left")
     else:
