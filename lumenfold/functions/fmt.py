@@ -44,7 +44,19 @@ def format_eta(seconds: Column) -> Column:
 
 
 def format_speed(bytes_per_second: Column) -> Column:
-    return F.format_string("%.1f MB/s", bytes_per_second.cast("double") / (1024 * 1024))
+    """`31.2 MB/s`, rounded by the exact value, whose halves go to the even digit; null for null."""
+    n = bytes_per_second.cast("double") / (1024 * 1024)
+    low = F.floor(n * 10)
+    above = (n * 16 - (low * 2 + 1)) + n * 4  # of the middle; without error near it
+    tenths = low + F.when((above > 0) | ((above == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.when(n.isNotNull(), F.format_string("%.1f MB/s", F.when(n.between(0, 1e14), tenths / 10.0).otherwise(n)))
+
+
+def half_away(number: Column, digits: int) -> Column:
+    """A number (0 or more, below 1e18 in units of the last digit) rounded by its double in these units, halves up."""
+    scaled = number * float(10**digits)
+    whole = F.floor(scaled)
+    return (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)).cast("double") / float(10**digits)
 
 
 def percent(current: Column, total: Column) -> Column:
