@@ -47,15 +47,18 @@ def by_path() -> Reader:
 
 
 def of_table(contents: DataFrame) -> Reader:
-    """Contents of a table (path, content)."""
+    """Contents of a table (path, content). They are digested where they are read, if a bitmap of the paths may hold theirs; only digests are shuffled."""
     table = contents.select(F.col("path").alias("__path"), F.col("content").alias("__content"))
 
-    def read(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        return rows.join(table, F.col("path") == F.col("__path"), "left").withColumns(columns).drop("__path", "__content")
+    def read(rows: DataFrame, columns: dict[str, Column], absent: dict[str, str]) -> DataFrame:
+        bits = bits_for(rows.count())
+        held = may_hold(table, [F.col("__path")], bitmap(rows, ["path"], bits), bits).select("__path", *[c.alias(name) for name, c in columns.items()])
+        found = rows.join(held, F.col("path") == F.col("__path"), "left")
+        return found.withColumns({name: F.when(F.col("__path").isNull(), value).otherwise(F.col(name)) for name, value in absent.items()}).drop("__path")
 
-    content = F.col("__content")
+    content, none = F.col("__content"), dict.fromkeys(("partial", "full"), "")
     small = F.when(content.isNull() | (F.octet_length(content) < SMALL_FILE), full_hash(content))
-    return Reader(lambda rows: read(rows, {"partial": partial_hash(content), "full": small}), lambda rows: read(rows, {"full": full_hash(content)}))
+    return Reader(lambda rows: read(rows, {"partial": partial_hash(content), "full": small}, none), lambda rows: read(rows, {"full": full_hash(content)}, {"full": ""}))
 
 
 def _spread(rows: DataFrame, weight: Column) -> DataFrame:

@@ -12,8 +12,8 @@ from ..functions.names import with_name_parts
 EXTENSIONS = (".jpg", ".mov", ".heic", ".MOV", ".mp4", ".JPG", ".png", ".json", ".pdf", ".jpeg")
 
 
-def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, path, length, mtime, h (digest of the contents) and the parts of the name."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_files and text, of one scan."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     k = F.expr("doc_id div 2")
     day = F.date_add(F.lit("2012-01-01").cast("date"), (k * 37 % 400).cast("int"))
@@ -33,10 +33,16 @@ def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("length"),
         (F.lit(1.7e9) + F.col("doc_id")).cast("double").alias("mtime"),
         F.md5(F.encode("text", "utf-8")).alias("h"),
+        "text",
     )
     return with_name_parts(files)
 
 
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, path, length, mtime, h (digest of the contents) and the parts of the name."""
+    return texts(spark, sf_dir).drop("text")
+
+
 def digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("h").alias("partial"), F.col("h").alias("full"))
 
@@ -84,12 +90,6 @@ def padded_contents(files: DataFrame) -> DataFrame:
     return files.select("file_id", "path", F.octet_length(body).cast("bigint").alias("length"), body.alias("content"))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """media_files and text."""
-    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"), "text")
-    return media_files(spark, sf_dir).join(own, "file_id")
-
-
 def _be(value: Column | int, size: int) -> Column:
     """A number as big-endian bytes."""
     return F.unhex(F.lpad(F.hex(value if isinstance(value, Column) else F.lit(value)), 2 * size, "0"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,12 @@ def test_files_seen_before(spark, root):
     got = {os.path.basename(r["path"]): (r["in_dst"], r["is_dup"]) for r in content.content_marks(table(spark, root, "s"), None, content.by_path(), seen).collect()}
     assert got["there.jpg"] == (False, True) and got["big2.jpg"] == (False, True) and got["big1.jpg"] == (False, False)
     assert content.content_marks(table(spark, root, "s").limit(0), table(spark, root, "d"), content.by_path(), seen).collect() == []
+
+
+def test_no_contents_are_shuffled(spark, root):
+    rows = spark.createDataFrame([(f"{root}/{n}", bytearray(b)) for n, b in FILES.items()], "path string, content binary")
+    reader = content.of_table(rows)
+    for read in (reader.partial, reader.full):
+        plan = read(table(spark, root, "s"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) \w*Exchange", part.strip())]
+        assert moved and not any("content" in part for part in moved)
