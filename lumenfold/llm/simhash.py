@@ -15,7 +15,7 @@ minhashes (BANDS of BAND_ROWS), which a pair at the similarity shares with a pro
 with all others. In every group each class is confirmed against the least one, by the whole sets, and so are links of RADIUS bits.
 What these have joined needs no more pairs, so a large group of near copies costs as many pairs as it has members. Then groups that
 still hold several components are cut into tiles as above, and all pairs within NEAR_RADIUS bits of different components, whose
-sizes allow the similarity, are confirmed too.
+sizes and parities allow the similarity (a bound that no pair at the similarity fails), are confirmed too.
 
 Rows: null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows and
 ids are kept. A component's id is its smallest doc_id, null only if all are null. Extra columns are
@@ -46,6 +46,8 @@ SLICE_BYTES = 1 << 20
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 16
 #: Bands of minhashes, and minhashes of a band. A pair at similarity s shares a band with a probability of 1 - (1 - s ** rows) ** bands.
 BANDS, BAND_ROWS = 16, 4
+#: Bits of a set's parities: as many bits of two sets differ as they have members apart, at most.
+PARITIES = 2048
 
 
 def shingle_hashes(text: str | None, n: int = SHINGLE) -> list[int]:
@@ -234,15 +236,34 @@ def band_keys(members: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) ->
     return keys
 
 
+def parities(members: np.ndarray) -> bytes:
+    """A bit per range of hashes: whether an odd number of a set's members lies there."""
+    slots = (members >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=PARITIES) & 1, bitorder="little").tobytes()
+
+
+def may_be_similar(odd: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs x, y of sets can have the similarity by their parities (odd: a row of 64-bit words each) and sizes together. None that has it is left out.
+
+    A pair at the similarity has (1 - similarity) / (1 + similarity) of its sizes together apart at most.
+    """
+    out = np.empty(len(x), dtype=bool)
+    for at in range(0, len(x), 65536):
+        apart = np.bitwise_count(odd[x[at : at + 65536]] ^ odd[y[at : at + 65536]]).sum(axis=1, dtype=np.int64)
+        # wider by one, against rounding
+        out[at : at + 65536] = apart <= sizes[at : at + 65536] * (1 - similarity) / (1 + similarity) + 1
+    return out
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_hash, sid (a hash of the set of shingles), fp, size (of the set), bands (its keys)."""
+    """doc_id, text_hash, sid (a hash of the set of shingles), fp, size (of the set), bands (its keys), parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                sids, fps, sizes, keys = [], [], [], []
+                sids, fps, sizes, keys, odd = [], [], [], [], []
                 for t in part.column("text").to_pylist():
                     hashes = shingle_hashes(t, n)
                     own = np.unique(np.array(hashes, dtype=np.uint64))
@@ -250,12 +271,13 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     fps.append(majority(hashes))
                     sizes.append(len(own))
                     keys.append(band_keys(own).view(np.int64))
+                    odd.append(parities(own))
                 signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sids, fps, sizes)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "sid", "fp", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc_id", "text_hash", "sid", "fp", "size", "bands", "parities"])
         give_back()
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    return mapped(own, run, "doc_id long, text_hash long, sid long, fp long, size long, bands array<long>")
+    return mapped(own, run, "doc_id long, text_hash long, sid long, fp long, size long, bands array<long>, parities binary")
 
 
 def group_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -279,12 +301,16 @@ def group_runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterato
 
 
 def open_pairs(tiles: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """a, b: pairs of sids of a group within radius, of different comp, whose sizes allow the similarity. tiles: key, side, fp, sid, size, comp."""
+    """a, b: pairs of sids of a group within radius, of different comp, whose sizes and parities allow the similarity.
+
+    tiles: key, side, fp, sid, size, comp, parities.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in group_runs(batches, ["key", "side", "fp", "sid", "size", "comp"]):
+        for found in group_runs(batches, ["key", "side", "fp", "sid", "size", "comp", "parities"]):
             key, fp = found["key"], found["fp"].astype(np.int64).view(np.uint64)
             starts = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            odd = np.frombuffer(b"".join(found["parities"]), dtype="<u8").reshape(len(key), -1)
             for s, e in zip(starts, np.concatenate([starts[1:], [len(key)]]), strict=True):
                 side, sid, size, comp = (found[c][s:e] for c in ("side", "sid", "size", "comp"))
                 same = side[0] == 2
@@ -295,6 +321,8 @@ def open_pairs(tiles: DataFrame, radius: int, similarity: float) -> DataFrame:
                     x, y = i[x], right[y]
                     # wider by one than the similarity allows, against rounding
                     ok = np.minimum(size[x], size[y]) + 1 >= similarity * np.maximum(size[x], size[y])
+                    x, y = x[ok], y[ok]
+                    ok = may_be_similar(odd[s:e], x, y, size[x] + size[y], similarity)
                     a, b = sid[x[ok]], sid[y[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -331,7 +359,7 @@ def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR
     """doc_id, text_hash, root (the class that names the component of near copies): a row per document."""
     rows = stored(sketches(docs, n))
     # the texts of a class have one set and one list of bands, but its hashes may repeat, so fp is the least of theirs
-    classes = stored(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands")))
+    classes = stored(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands"), F.any_value("parities").alias("parities")))
     heads = stored(classes.groupBy("fp").agg(F.min("sid").alias("head")))
     near = links(heads.select("fp")).distinct()
     far = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -343,9 +371,9 @@ def near_groups(docs: DataFrame, n: int = NEAR_SHINGLE, similarity: float = NEAR
     star = grouped.where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
     first = confirmed(far.union(equal).union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, classes, n, similarity)
     joined = components(first)
-    placed = stored(classes.join(joined, classes["sid"] == joined["node"], "left").select("sid", "fp", "size", F.coalesce("root", "sid").alias("comp")))
+    placed = stored(classes.join(joined, classes["sid"] == joined["node"], "left").select("sid", "fp", "size", "parities", F.coalesce("root", "sid").alias("comp")))
     # groups of several components
-    of = grouped.join(placed, "sid").select("key", "sid", "fp", "size", "comp")
+    of = grouped.join(placed, "sid").select("key", "sid", "fp", "size", "comp", "parities")
     still = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     second = confirmed(open_pairs(tiles_of(stored(of.join(still, "key", "left_semi")), radius, tile), radius, similarity), docs, classes, n, similarity)
     roots = components(first.union(second))
